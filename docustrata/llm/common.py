@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,22 +99,21 @@ def ordered(df: DataFrame, keys: list[str], size: str, group: str | None = None)
     src = df if group else df.withColumn("__all", F.lit(0))
     schema = T.StructType([*src.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(local, T.LongType()), T.StructField(before, T.LongType())])
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, by = src.columns.index(size), src.columns.index(group_col)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen, sums = TaskContext.get().partitionId(), 0, {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sizes = pdf[size].to_numpy(dtype="int64")
-            pdf[part] = pid
-            pdf[local] = range(seen, seen + len(pdf))
-            seen += len(pdf)
-            g = pdf[group_col]
-            pdf[before] = pd.Series(sizes, index=pdf.index).groupby(g).cumsum() - sizes + g.map(sums).fillna(0).astype("int64")
-            for k, v in pd.Series(sizes, index=pdf.index).groupby(g).sum().items():
+        for batch in batches:
+            n = batch.num_rows
+            sizes, g = pd.Series(batch.column(at).to_numpy(zero_copy_only=False).astype("int64")), pd.Series(batch.column(by).to_numpy(zero_copy_only=False))
+            before_each = sizes.groupby(g).cumsum() - sizes + g.map(sums).fillna(0).astype("int64")
+            for k, v in sizes.groupby(g).sum().items():
                 sums[k] = sums.get(k, 0) + int(v)
-            yield pdf
+            more = [pa.array([pid] * n, pa.int32()), pa.array(range(seen, seen + n), pa.int64()), pa.array(before_each.to_numpy("int64"))]
+            seen += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, part, local, before])
 
-    rows = checkpointed(src.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(number, schema))
+    rows = checkpointed(src.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, schema))
     totals = rows.groupBy(part, group_col).agg(F.sum(size).alias("__t"), F.count("*").alias("__n"))
     totals = totals.withColumn("start0", F.coalesce(F.sum("__t").over(Window.partitionBy(group_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = totals.groupBy(part).agg(F.sum("__n").alias("__n"))
