@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.llm import licenses, mixing, secrets
+from docustrata.llm import licenses, mixing, secrets, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": secrets.op7_secrets,
         "op8_licenses": licenses.op8_licenses,
         "op9_mixing": mixing.op9_mixing,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_licenses": licenses.op8_sql(),
+        "op10_topk": topk.op10_sql(),
     }
