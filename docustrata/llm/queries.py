@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.llm import licenses, mixing, packing, secrets, tokens, topk
+from docustrata.llm import licenses, mixing, packing, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": packing.op4_packing,
         "op5_tokens": tokens.op5_tokens,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_secrets": secrets.op7_secrets,
         "op8_licenses": licenses.op8_licenses,
         "op9_mixing": mixing.op9_mixing,
