@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.llm import licenses, mixing, packing, secrets, tokens, topk, toxicity
+from docustrata.llm import language, licenses, mixing, packing, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language": language.op3_language,
         "op4_packing": packing.op4_packing,
         "op5_tokens": tokens.op5_tokens,
         "op6_toxicity": toxicity.op6_toxicity,
