@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.llm import fingerprints, language, licenses, mixing, packing, secrets, tokens, topk, toxicity
+from docustrata.llm import fingerprints, language, licenses, mixing, neardup, packing, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": neardup.op1_neardup,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_language": language.op3_language,
         "op4_packing": packing.op4_packing,

@@ -94,7 +94,7 @@ class Finder:
         words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        found = [self.features(w) for w in coded.dictionary.to_pylist()]
+        found = [self.features(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
         codes, has = coded.indices.to_numpy(), np.array([bool(f) for f in found], dtype=bool)
         at = np.flatnonzero(has[codes]) if len(found) else np.empty(0, dtype="int64")
         doc = np.searchsorted(bounds, at, "right") - 1
