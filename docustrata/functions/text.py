@@ -52,11 +52,21 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c.cast("decimal(18,6)"), digits).cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often and in however many branches body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_label_noise(c: Column) -> Column:
-    out = strip(c)
-    for p in LABEL_PREFIXES:
-        out = strip(F.regexp_replace(out, f"(?i)^{p}", ""))
-    return out
+    """A text that begins with none of the prefixes has none to remove, and is trimmed alone."""
+
+    def removed(t: Column) -> Column:
+        out = t
+        for p in LABEL_PREFIXES:
+            out = strip(F.regexp_replace(out, f"(?i)^{p}", ""))
+        return F.when(t.rlike(f"(?i)^({'|'.join(LABEL_PREFIXES)})"), out).otherwise(t)
+
+    return let(strip(c), removed)
 
 
 def card_form(digits: Column) -> Column:
@@ -85,7 +95,10 @@ def month_number(c: Column) -> Column:
 
 def date_text(c: Column) -> Column:
     """DD.MM.YYYY where a date is found, else the text without labels; no calendar is asked."""
-    t = strip_label_noise(c)
+    return let(strip_label_noise(c), _dotted)
+
+
+def _dotted(t: Column) -> Column:
     alpha, dmy, ymd = r"\b(\d{1,2})[\s./-]*([A-Za-z]{3})[\s./-]*(\d{4})\b", r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b", r"\b(\d{4})[./-](\d{1,2})[./-](\d{1,2})\b"
     g = lambda p, i: F.regexp_extract(t, p, i)
     two = lambda x: F.lpad(x, 2, "0")
@@ -100,7 +113,10 @@ def date_text(c: Column) -> Column:
 
 def father_name(c: Column) -> Column:
     """`SURNAME, GIVEN` becomes `GIVEN SURNAME`; further parts are dropped."""
-    t = strip_label_noise(c)
+    return let(strip_label_noise(c), _inverted)
+
+
+def _inverted(t: Column) -> Column:
     parts = F.filter(F.transform(F.split(t, ","), strip), lambda p: p != "")
     return F.when(t.contains(",") & (F.size(parts) >= 2), F.upper(F.concat_ws(" ", F.get(parts, 1), F.get(parts, 0)))).otherwise(F.upper(t))
 
@@ -149,7 +165,10 @@ def century(yy: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """YYYY-MM-DD, or null if no date is found anywhere in the text."""
-    t = F.upper(strip(c))
+    return let(F.upper(strip(c)), _iso)
+
+
+def _iso(t: Column) -> Column:
     alpha, dmy, ymd = r"(\d{1,2})[-\s]?([A-Z]{3})[-\s]?(\d{4})", r"(\d{1,2})[\.\/\-](\d{1,2})[\.\/\-](\d{4})", r"(\d{4})[\.\/\-](\d{1,2})[\.\/\-](\d{1,2})"
     g = lambda p, i: F.regexp_extract(t, p, i)
     two = lambda x: F.lpad(x, 2, "0")

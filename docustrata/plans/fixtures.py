@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docustrata.session import materialized
+
 #: Per key: thirteen digits d, date parts, two names, a passport number pp with its check digit, a date yymmdd with its check digit.
 KEYS = """SELECT k, cast(1 + k % 9 AS string) || lpad(cast((k * 7919 + 13) % 1000000000000 AS string), 12, '0') AS d,
  lpad(cast(1 + k % 28 AS string), 2, '0') AS dd, lpad(cast(1 + k % 12 AS string), 2, '0') AS mm, substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', cast(1 + 3 * (k % 12) AS int), 3) AS mon,
@@ -77,11 +79,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, PLACED.replace("{tokens}", CARD_TOKENS), "customer")
+    """As stored tokens are: a table."""
+    return materialized(spark, ("cards", sf_dir), _read(spark, sf_dir, PLACED.replace("{tokens}", CARD_TOKENS), "customer"))
 
 
 def passport_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, PLACED.replace("{tokens}", PASSPORT_TOKENS), "orders")
+    return materialized(spark, ("passports", sf_dir), _read(spark, sf_dir, PLACED.replace("{tokens}", PASSPORT_TOKENS), "orders"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.plans import scalar
+from docustrata.plans import documents, scalar
 
-MODULES = (scalar,)
+MODULES = (scalar, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "docustrata", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
+
+
+_tables: dict[tuple[str, ...], str] = {}
+
+
+def materialized(spark: SparkSession, name: tuple[str, ...], made: DataFrame) -> DataFrame:
+    """made, as a Parquet table in the shared folder that one application writes once for each name."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _tables:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/docustrata-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        _tables[key] = path
+    return spark.read.schema(made.schema).parquet(_tables[key])
