@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.plans import documents, scalar
+from docustrata.plans import documents, imaging, scalar
 
-MODULES = (scalar, documents)
+MODULES = (scalar, documents, imaging)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
