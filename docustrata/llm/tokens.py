@@ -39,7 +39,7 @@ from docustrata.llm.common import checkpointed, ordered, scratch_path
 
 END = 2
 #: Characters of text that a worker encodes at once; words that it remembers.
-CHUNK, REMEMBERED = 6_000_000, 1_000_000
+CHUNK, REMEMBERED = 8_000_000, 1_000_000
 #: The last character whose class every version of Unicode gives alike; runs that the pre-tokenizer of byte-level vocabularies keeps apart.
 LATIN = "\u024f"
 MARKS = (".", ",")
@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     rows = docs.select(key, text).repartitionByRange(key, text) if has_ties(docs, key) else docs.select(key, text).repartitionByRange(key)
     rows = rows.sortWithinPartitions(key, text).mapInArrow(encode, f"`{key}` {kind}, part int, line long, ids array<int>")
-    options = {"orc.compress": "ZSTD", "orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": FPP}
+    options = {"orc.compress": "LZ4", "orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": FPP}
     rows.write.options(**{k: str(v) for k, v in options.items()}).orc(path)
 
 
