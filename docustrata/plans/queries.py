@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docustrata.plans import documents, imaging, scalar
+from docustrata.plans import config, documents, imaging, scalar
 
-MODULES = (scalar, documents, imaging)
+MODULES = (scalar, documents, imaging, config)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
