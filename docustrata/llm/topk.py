@@ -138,7 +138,7 @@ class PivotIndex:
         def own(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf[pdf["asks"].fillna(False).astype(bool)]
             if not len(asks):
-                return pd.DataFrame({"query_id": [], "q": [], "v": [], "sure": []})
+                return pd.DataFrame({"query_id": [], "q": [], "v": np.empty(0, dtype=object), "sure": []})
             i, _, score = expand(asks["id"].to_numpy("int64"), np.stack(asks["v"].to_numpy()), np.full(len(asks), -np.inf), rings(pdf))
             sure = [float(np.sort(score[i == n])[-k]) if (i == n).sum() >= k else -np.inf for n in range(len(asks))]
             return pd.DataFrame({"query_id": asks["id"], "q": asks["q"], "v": asks["v"], "sure": sure}).drop_duplicates(["query_id", "q"])
