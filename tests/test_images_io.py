@@ -72,16 +72,15 @@ def test_exif():
     assert images.exif_orientation(jpeg) == 6 and images.exif_orientation(b"\xff\xd8\xff\xd9") is None and images.exif_orientation(b"PNG") is None
 
 
-class Fake:
-    name = "fake"
-
-    def tokens(self, image, document_type):
-        if image.max() > 200:
-            raise ValueError("too bright")
-        return [(" HELLO ", 0.9, [(1, 2), (5, 2), (5, 6), (1, 6)])]
+def test_engine_boundary(spark):
+    class Fake:
+        name = "fake"
 
+        def tokens(self, image, document_type):
+            if image.max() > 200:
+                raise ValueError("too bright")
+            return [(" HELLO ", 0.9, [(1, 2), (5, 2), (5, 6), (1, 6)])]
 
-def test_engine_boundary(spark):
     rows = [(str(i), 4, 4, 1, bytes([v] * 16)) for i, v in enumerate((10, 250))]
     got = {r.doc_id: r for r in src.recognize(spark.createDataFrame(rows, "doc_id string, height int, width int, channels int, data binary"), Fake).collect()}
     assert (got["0"].text, got["0"].x2, got["0"].error) == ("HELLO", 5.0, None) and "too bright" in got["1"].error
