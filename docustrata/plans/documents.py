@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docustrata.functions import geometry, scoring, text, validators
 from docustrata.operators import parse, reconcile, spatial, variants
 from docustrata.plans import fixtures
-from docustrata.plans.scalar import PARSER_DATES, card, date_sql, get, has, labels, q, strip, sub
+from docustrata.plans.scalar import ISO_DATES, PARSER_DATES, card, date_sql, get, has, labels, q, strip, sub, zone1_sql, zone2_sql
 from docustrata.sources import field_config as fc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,6 +315,85 @@ v0 AS (SELECT *, CASE WHEN raw_value = '' THEN '' WHEN normalization = 'cnic' TH
 v AS (SELECT *, CASE validator WHEN 'cnic_number' THEN {has(strip('value'), validators.CARD)} WHEN 'date' THEN {valid_date} WHEN 'text_non_empty' THEN length({strip('value')}) > 0 ELSE true END AS validated FROM v0)"""
 
 
+def noise_sql(e: str) -> str:
+    return strip(sub(strip(sub(e, r"(?i)\b(" + "|".join(text.NOISE_WORDS) + r")\b")), r"\s+", " "))
+
+
+def passport_ctes() -> str:
+    """CTEs up to last (doc_id, field, raw_value, value, validated, ...): the passes of passport parsing."""
+    p = fixtures.DUCK_PASSPORTS
+    fields = parse.PASSPORT_FIELDS
+    digits, found = sub("cleaned", r"\D"), get("cleaned", text.CARD)
+    number = f"CASE WHEN {has('cleaned', text.CARD)} THEN {card(sub(found, '[^0-9]'))} WHEN length({digits}) = 13 THEN {card(digits)} ELSE {strip('cleaned')} END"
+    pn = r"\b[A-Z]{1,3}\d{6,8}\b"
+    father = lambda t: f"CASE WHEN contains({t}, ',') AND len(list_filter(list_transform(string_split({t}, ','), lambda x: {strip('x')}), lambda x: x <> '')) >= 2 THEN upper(list_filter(list_transform(string_split({t}, ','), lambda x: {strip('x')}), lambda x: x <> '')[2] || ' ' || list_filter(list_transform(string_split({t}, ','), lambda x: {strip('x')}), lambda x: x <> '')[1]) ELSE upper({t}) END"
+    value = f"CASE WHEN cleaned = '' THEN '' WHEN normalization = 'passport_number' THEN CASE WHEN {has('upper(cleaned)', pn)} THEN {get('upper(cleaned)', pn)} ELSE {sub('upper(cleaned)', r'[^\w]')} END WHEN normalization = 'uppercase' THEN {strip('upper(t0)')} WHEN normalization = 'father_name_invert' THEN {father('t0')} WHEN normalization = 'date' THEN {date_sql('t0', *PARSER_DATES, 'dmy', '.', 'ELSE t0')} ELSE {number} END"
+    date_ok = f"coalesce({has('value', validators.DATE)} AND try_cast(substr(value, 1, 2) AS int) BETWEEN 1 AND 31 AND try_cast(substr(value, 4, 2) AS int) BETWEEN 1 AND 12 AND try_cast(substr(value, 7, 4) AS int) BETWEEN 1900 AND 2100, false)"
+    valid = f"CASE validator WHEN 'passport_number' THEN {has(strip('value'), validators.PASSPORT)} WHEN 'date' THEN {date_ok} WHEN 'text_non_empty' THEN length({strip('value')}) > 0 ELSE true END"
+    wide = ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}, bool_or(validated) FILTER (WHERE field = '{f}') AS {f}_ok" for f in fields)
+    comma = r"\b([A-Z]{3,})\s*,\s*([A-Z]{3,})\b"
+
+    def step(name: str, source: str, changes: dict[str, tuple[str, str]]) -> str:
+        """Fields that take a value where a condition holds."""
+        put = ", ".join(f"CASE WHEN {c} THEN {v} ELSE {f} END AS {f}, CASE WHEN {c} THEN true ELSE {f}_ok END AS {f}_ok" for f, (c, v) in changes.items())
+        return f"{name} AS (SELECT * REPLACE ({put}) FROM {source})"
+
+    one, two = zone1_sql("l1"), zone2_sql("l2")
+    bad = lambda f: f"m_{f} IS NOT NULL AND ({f} = '' OR contains({f}, 'RAWALPINDI') OR contains({f}, 'NATIONALITY'))"
+    dated = f"SELECT doc_id, idx, {date_sql('t', *PARSER_DATES, 'dmy', '.', 'ELSE t')} AS d FROM (SELECT doc_id, idx, {labels('text')} AS t FROM t)"
+    order = "list(d ORDER BY substr(d, 7, 4), i)"
+    side = lambda w: {"below": "t.y1 >= a.y2 - 5 AND t.y1 - a.y2 <= 50 AND abs((t.x1 + t.x2) / 2 - (a.x1 + a.x2) / 2) <= 250", "right": "t.x1 >= a.x2 - 10 AND abs((t.y1 + t.y2) / 2 - (a.y1 + a.y2) / 2) <= 50"}[w] + " AND sqrt(((t.x1 + t.x2) / 2 - (a.x1 + a.x2) / 2) ** 2 + ((t.y1 + t.y2) / 2 - (a.y1 + a.y2) / 2) ** 2) <= 500"
+    kw = f"contains(lower({strip('t.text')}), lower(w.word)) OR contains(lower(w.word), lower({strip('t.text')}))"
+    return f"""{parse_ctes(p, True)},
+c0 AS (SELECT *, {noise_sql('raw_value')} AS cleaned FROM fields), c1 AS (SELECT *, {labels('cleaned')} AS t0 FROM c0), c2 AS (SELECT *, {value} AS value FROM c1), c3 AS (SELECT *, {valid} AS validated FROM c2),
+whole AS (SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS raw_text FROM t GROUP BY doc_id),
+zl AS (SELECT doc_id, max_by(text, idx) FILTER (WHERE contains(text, 'P<')) AS line1, max_by(text, idx) FILTER (WHERE NOT contains(text, 'P<') AND length(text) > 15) AS line2 FROM t WHERE contains(text, '<') GROUP BY doc_id),
+dr AS (SELECT doc_id, count(*) AS nd, ({order})[1] AS d1, ({order})[2] AS d2, ({order})[-1] AS d3 FROM (SELECT doc_id, d, min(idx) AS i FROM ({dated}) WHERE {has('d', validators.DATE)} GROUP BY ALL) GROUP BY doc_id),
+fa AS (SELECT * FROM (SELECT t.*, w.ord, {kw} AS ex, {sim_sql('t.text', 'w.word')} AS sim FROM t JOIN (VALUES (0, 'Father Name'), (1, 'Father'), (2, 'Husband')) AS w(ord, word) ON true) WHERE ex OR sim >= 0.65 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord, CASE WHEN ex THEN 0 ELSE 1 END, CASE WHEN ex THEN 0 ELSE -sim END, idx) = 1),
+fb AS (SELECT a.doc_id, string_agg(t.text, ' ' ORDER BY t.y1, t.x1) AS ft FROM fa a JOIN t ON t.doc_id = a.doc_id AND t.idx <> a.idx AND {side('below')} GROUP BY a.doc_id),
+fr AS (SELECT a.doc_id, string_agg(t.text, ' ' ORDER BY t.y1, t.x1) AS ft FROM fa a JOIN t ON t.doc_id = a.doc_id AND t.idx <> a.idx AND {side('right')} GROUP BY a.doc_id),
+fn AS (SELECT doc_id, {father('ft')} AS fv FROM (SELECT fa.doc_id, {labels(noise_sql('coalesce(fb.ft, fr.ft)'))} AS ft FROM fa LEFT JOIN fb USING (doc_id) LEFT JOIN fr USING (doc_id)) WHERE ft IS NOT NULL),
+w0 AS (SELECT doc_id, {wide} FROM c3 GROUP BY doc_id),
+w1 AS (SELECT w0.*, raw_text, nd, d1, d2, d3, coalesce(fv, '') AS fv, upper(replace(coalesce(line1, ''), ' ', '')) AS l1, {sub("upper(coalesce(line2, ''))", r'[^\w<]')} AS l2 FROM w0 JOIN whole USING (doc_id) LEFT JOIN zl USING (doc_id) LEFT JOIN dr USING (doc_id) LEFT JOIN fn USING (doc_id)),
+w2 AS (SELECT *, {', '.join(f'{e} AS m_{k}' for k, e in {**one, **two}.items())} FROM w1),
+{step('w3', 'w2', {'cnic_number': (has('raw_text', text.CARD), card(sub(get('raw_text', text.CARD), '[^0-9]'))), 'passport_number': (has('raw_text', pn) + " AND contains(lower(raw_text), 'passport')", get('raw_text', pn)), 'date_of_birth': ('nd >= 3 AND NOT date_of_birth_ok', 'd1'), 'date_of_issue': ('nd >= 3 AND NOT date_of_issue_ok', 'd2'), 'date_of_expiry': ('nd >= 3 AND NOT date_of_expiry_ok', 'd3')})},
+w4 AS (SELECT * REPLACE (CASE WHEN fv <> '' THEN fv WHEN {has('raw_text', comma)} AND {get('raw_text', comma, 1)} NOT IN (surname, given_names) AND {get('raw_text', comma, 2)} NOT IN (surname, given_names) THEN {get('raw_text', comma, 2)} || ' ' || {get('raw_text', comma, 1)} ELSE '' END AS fv) FROM w3),
+{step('w5', 'w4', {'father_name': ("fv <> ''", 'fv'), 'surname': (bad('surname'), 'm_surname'), 'given_names': (bad('given_names'), 'm_given_names'), **{f: (f"m_{f} IS NOT NULL AND ({f} = '' OR NOT {f}_ok)", f'm_{f}') for f in two}})},
+lasts AS (SELECT doc_id, unnest([{', '.join(f"{{'field': '{f}', 'value': {f}, 'validated': {f}_ok}}" for f in fields)}], recursive := true) FROM w5),
+last AS (SELECT c3.* EXCLUDE (value, validated), l.value, l.validated FROM c3 JOIN lasts l ON l.doc_id = c3.doc_id AND l.field = c3.field)"""
+
+
+def iso_sql(e: str) -> str:
+    rest = rf"WHEN regexp_matches({e}, '^\d{{6}}$') THEN CASE WHEN cast(substr({e}, 1, 2) AS int) > 30 THEN '19' ELSE '20' END || substr({e}, 1, 2) || '-' || substr({e}, 3, 2) || '-' || substr({e}, 5, 2)"
+    return date_sql(e, *ISO_DATES, "ymd", "-", rest)
+
+
+def reconcile_ctes() -> str:
+    """CTEs up to final (doc_id, field, value, decision, ...) of derived passports."""
+    schema = ", ".join(f"('{f}', {i}, '{t}', {str(c).lower()})" for i, (f, t, c) in enumerate(reconcile.SCHEMAS["passport"]))
+    one, two = zone1_sql("l1"), zone2_sql("l2")
+    up = lambda e: f"upper({strip(e)})"
+    fmt = lambda e: f"CASE WHEN length({sub(e, chr(92) + 'D')}) = 13 THEN {card(sub(e, chr(92) + 'D'))} WHEN {has(e, r'^\d{5}-\d{7}-\d$')} THEN {e} END"
+    return f"""{passport_ctes()}, sch AS (SELECT * FROM (VALUES {schema}) AS s(field, ord, kind, critical)),
+zc AS (SELECT doc_id, upper(replace(coalesce(min_by(text, idx) FILTER (WHERE contains(text, 'P<')), ''), ' ', '')) AS l1, {sub("upper(coalesce(min_by(text, idx) FILTER (WHERE length(text) >= 28 AND NOT starts_with(text, 'P<')), ''))", r'[^\w<]')} AS l2 FROM t WHERE contains(text, '<') OR length(text) > 20 GROUP BY doc_id),
+zw AS (SELECT doc_id, {', '.join(f'{e} AS {k}' for k, e in {**one, **two}.items())} FROM zc),
+zm AS (SELECT doc_id, unnest([{', '.join(f"{{'field': '{k}', 'z': {k}}}" for k in (*one, *two))}], recursive := true) FROM zw),
+e0 AS (SELECT l.doc_id, s.field, s.ord, s.kind, s.critical, nullif(m.z, '') AS z, nullif(l.value, '') AS v, l.ocr_confidence, l.spatial_confidence, l.token_indices FROM last l JOIN sch s ON s.field = l.field LEFT JOIN zm m ON m.doc_id = l.doc_id AND m.field = l.field),
+e1 AS (SELECT *, {iso_sql(up('z'))} AS zi, {iso_sql(up('v'))} AS vi FROM e0),
+known AS (SELECT doc_id, max(coalesce(zi, vi)) FILTER (WHERE field = 'date_of_birth') AS birth, max(coalesce(zi, vi)) FILTER (WHERE field = 'date_of_expiry') AS expiry FROM e1 GROUP BY doc_id),
+rest AS (SELECT d.* FROM (SELECT doc_id, idx, confidence, {iso_sql('u')} AS iso FROM (SELECT doc_id, idx, confidence, {up('text')} AS u FROM t)) d JOIN known k ON k.doc_id = d.doc_id WHERE iso IS NOT NULL AND iso IS DISTINCT FROM birth AND iso IS DISTINCT FROM expiry QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY idx) = 1),
+e2 AS (SELECT e1.*, r.iso AS ri, r.confidence AS rc, r.idx AS rx, birth, e1.field = 'date_of_issue' AND r.iso IS NOT NULL AS took FROM e1 LEFT JOIN known k USING (doc_id) LEFT JOIN rest r ON r.doc_id = e1.doc_id),
+e3 AS (SELECT *, nullif(CASE kind WHEN 'date' THEN CASE WHEN took THEN ri WHEN field = 'date_of_issue' THEN CASE WHEN vi <> coalesce(birth, '') THEN vi END ELSE coalesce(zi, vi) END WHEN 'passport_number' THEN upper(coalesce(z, v)) WHEN 'cnic_number' THEN coalesce({fmt('z')}, {fmt('v')}) ELSE {up('coalesce(z, v)')} END, '') AS value,
+ coalesce(CASE kind WHEN 'date' THEN field <> 'date_of_issue' AND zi IS NOT NULL WHEN 'passport_number' THEN upper(z) = upper(v) WHEN 'cnic_number' THEN {fmt('z')} IS NOT NULL ELSE {up('z')} = {up('v')} END, false) AS checksum_valid FROM e2),
+e4 AS (SELECT *, coalesce(CASE kind WHEN 'date' THEN {has('value', r'^\d{4}-\d{2}-\d{2}$')} WHEN 'passport_number' THEN {has('value', '^[A-Z0-9]{7,9}$')} WHEN 'cnic_number' THEN {has('value', r'^\d{5}-\d{7}-\d$')} ELSE length(value) >= 2 END, false) AS format_valid FROM e3),
+e5 AS (SELECT *, CASE WHEN took THEN rc ELSE ocr_confidence END * 0.25 + CASE WHEN took THEN 0.9 ELSE spatial_confidence END * 0.15 + CASE WHEN format_valid THEN 0.35 ELSE 0 END + CASE WHEN checksum_valid THEN 0.25 ELSE 0 END AS raw_score FROM e4),
+e6 AS (SELECT *, {r6('least(1.0, greatest(0.0, CASE WHEN critical AND NOT format_valid AND NOT checksum_valid THEN least(raw_score, 0.4) ELSE raw_score END))', 2)} AS score FROM e5),
+final AS (SELECT doc_id, field, ord, critical, value, CASE WHEN format_valid AND score >= 0.7 THEN 'ACCEPT' WHEN value IS NOT NULL THEN 'REVIEW' ELSE 'UNKNOWN' END AS decision, score AS confidence, CASE WHEN checksum_valid THEN 'mrz+visual_ocr' WHEN kind IN ('passport_number', 'person_name') AND z IS NOT NULL THEN 'mrz' ELSE 'visual_ocr' END AS source, format_valid, checksum_valid, CASE WHEN took THEN rx::VARCHAR ELSE token_indices END AS token_indices FROM e6),
+dates AS (SELECT doc_id, max(try_strptime(value, '%Y-%m-%d')) FILTER (WHERE field = 'date_of_birth') AS b, max(try_strptime(value, '%Y-%m-%d')) FILTER (WHERE field = 'date_of_issue') AS i, max(try_strptime(value, '%Y-%m-%d')) FILTER (WHERE field = 'date_of_expiry') AS e FROM final GROUP BY doc_id),
+why AS (SELECT doc_id, list_concat(coalesce(list('critical_field_uncertain_' || field ORDER BY ord) FILTER (WHERE critical AND decision <> 'ACCEPT'), []), CASE WHEN NOT coalesce(any_value(b) <= any_value(i) AND any_value(i) <= any_value(e), true) THEN ['invalid_date_chronology'] ELSE [] END) AS reasons, bool_or(decision = 'REVIEW') AS rev FROM final JOIN dates USING (doc_id) GROUP BY doc_id),
+result AS (SELECT doc_id, CASE WHEN len(reasons) > 0 OR rev THEN 'review' ELSE 'success' END AS status, len(reasons) > 0 OR rev AS review_required, array_to_string(reasons, '; ') AS review_reasons FROM why)"""
+
+
 def oracle_sql() -> dict[str, str]:
     c, p = fixtures.DUCK_CARDS, fixtures.DUCK_PASSPORTS
     ctes = parse_ctes(c, False)
@@ -379,6 +458,11 @@ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'NEEDS_REVIEW' WHEN bad = 0 AND me
         "agg10_run_summary": f"{parsed}, g AS (SELECT doc_id, count(*) AS f, count(*) FILTER (WHERE validated) AS ok FROM v GROUP BY doc_id) SELECT count(*) AS documents, avg((doc_id % 100)::DOUBLE) AS avg_latency_ms, sum(f)::BIGINT AS total_fields_extracted, avg(ok) AS avg_validated_fields_per_doc, CASE WHEN count(*) = 0 THEN 1.0 END::DOUBLE AS field_precision, CASE WHEN count(*) = 0 THEN 1.0 END::DOUBLE AS field_recall FROM g",
         "val8_cross_field": f"SELECT k, array_to_string(list_filter([CASE WHEN b >= i THEN 'Cross-field warning: Date of birth year (' || b || ') must be before date of issue year (' || i || ')' END, CASE WHEN i >= e THEN 'Cross-field warning: Date of issue year (' || i || ') must be before date of expiry year (' || e || ')' END, CASE WHEN NOT contains('AB1234567', substr(n, 1, 7)) THEN 'Cross-field warning: Visible passport number ''' || n || ''' does not match MRZ line 2 passport segment ''AB1234567''' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM (SELECT {k} AS k, {k} % 40 + 1980 AS b, {k} % 30 + 1990 AS i, {k} % 20 + 1998 AS e, 'AB' || ({k} % 3 + 1234567)::VARCHAR AS n FROM customer)",
         "val10_chronology": f"SELECT {k} AS k, coalesce({iso_day(f'{k} % 40 + 1980', f'{k} % 12 + 1', f'{k} % 31 + 1')} <= {iso_day(f'{k} % 30 + 1990', f'{k} % 11 + 1', f'{k} % 28 + 1')} AND {iso_day(f'{k} % 30 + 1990', f'{k} % 11 + 1', f'{k} % 28 + 1')} <= {iso_day(f'{k} % 20 + 2000', f'{k} % 7 + 1', f'{k} % 27 + 1')}, true) AS in_order FROM customer",
+        "pip2_passport_parse": f"{passport_ctes()} SELECT doc_id, field, raw_value, value, validated, confidence FROM last",
+        "agg11_reconcile": f"{reconcile_ctes()} SELECT doc_id, field, value, decision, confidence, source, format_valid, checksum_valid, token_indices FROM final",
+        "agg8_document_result": f"{reconcile_ctes()} SELECT * FROM result",
+        "passport_review_queue": f"""{reconcile_ctes()}, g AS (SELECT doc_id, count(*) FILTER (WHERE NOT validated) AS bad, {r6('avg(confidence)', 6)} AS mean, flatten(list({reasons} ORDER BY field_ord)) AS why_ FROM last GROUP BY doc_id),
+st AS (SELECT doc_id, CASE WHEN bad = 0 AND mean >= 0.9 THEN CASE WHEN review_required THEN 'NEEDS_REVIEW' ELSE 'AUTO_ACCEPT' END WHEN mean < 0.6 OR bad >= 3 THEN 'AUTO_REJECT' ELSE 'NEEDS_REVIEW' END AS review_state, status, CASE WHEN bad = 0 AND mean >= 0.9 THEN 'All critical fields validated with high confidence' ELSE array_to_string(why_, '; ') END AS review_reasons, r.review_reasons AS reconcile_reasons FROM g JOIN result r USING (doc_id)) SELECT * FROM st WHERE review_state = 'NEEDS_REVIEW'""",
         "pip1_card_parse": f"{parsed} SELECT doc_id, field, raw_value, value, validated, ocr_confidence, spatial_confidence, confidence, token_indices FROM v",
     }
 

@@ -111,6 +111,25 @@ PARSER_DATES = (r"\b(\d{1,2})[\s./-]*([A-Za-z]{3})[\s./-]*(\d{4})\b", r"\b(\d{1,
 ISO_DATES = (r"(\d{1,2})[-\s]?([A-Z]{3})[-\s]?(\d{4})", r"(\d{1,2})[\.\/\-](\d{1,2})[\.\/\-](\d{4})", r"(\d{4})[\.\/\-](\d{1,2})[\.\/\-](\d{1,2})")
 
 
+def zone1_sql(t: str) -> dict[str, str]:
+    """Of a first line t, in upper case and without spaces."""
+    body = f"regexp_replace(regexp_replace({t}, '^P<[A-Z]{{3}}', ''), '^P<', '')"
+    name = lambda i: f"CASE WHEN contains({t}, 'P<') AND len(string_split({body}, '<<')) >= 2 THEN nullif(trim(translate(string_split({body}, '<<')[{i}], '<', ' ')), '') END"
+    return {"surname": name(1), "given_names": name(2)}
+
+
+def zone2_sql(t: str) -> dict[str, str]:
+    """Of a second line t, in upper case and with word characters and fillers alone."""
+    repair = lambda e: f"translate({e}, 'OQILZSBG', '00112586')"
+    birth, expiry, personal, number = repair(f"substr({t}, 14, 6)"), repair(f"substr({t}, 22, 6)"), sub(repair(f"substr({t}, 29)"), r"\D"), sub(f"substr({t}, 1, 9)", "<")
+    return {
+        "passport_number": f"CASE WHEN length({t}) >= 28 AND {has(number, '^[A-Z0-9]{7,9}$')} THEN {number} END",
+        "date_of_birth": f"CASE WHEN length({t}) >= 28 AND {has(birth, r'^\d{6}$')} THEN substr({birth}, 5, 2) || '.' || substr({birth}, 3, 2) || '.' || CASE WHEN try_cast(substr({birth}, 1, 2) AS int) > 30 THEN '19' ELSE '20' END || substr({birth}, 1, 2) END",
+        "date_of_expiry": f"CASE WHEN length({t}) >= 28 AND {has(expiry, r'^\d{6}$')} THEN substr({expiry}, 5, 2) || '.' || substr({expiry}, 3, 2) || '.20' || substr({expiry}, 1, 2) END",
+        "cnic_number": f"CASE WHEN length({t}) >= 28 AND length({personal}) >= 13 THEN {card(personal)} END",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     digits = sub("s", r"\D")
     found = get("s", text.CARD)
@@ -119,10 +138,7 @@ def oracle_sql() -> dict[str, str]:
     parts = "list_filter(list_transform(string_split(t, ','), lambda x: " + strip("x") + "), lambda x: x <> '')"
     iso = date_sql("t", *ISO_DATES, "ymd", "-", r"WHEN regexp_matches(t, '^\d{6}$') THEN CASE WHEN cast(substr(t, 1, 2) AS int) > 30 THEN '19' ELSE '20' END || substr(t, 1, 2) || '-' || substr(t, 3, 2) || '-' || substr(t, 5, 2)")
     upper_labels = strip(f"upper({labels('s')})")
-    body = "regexp_replace(regexp_replace(t, '^P<[A-Z]{3}', ''), '^P<', '')"
-    name = lambda i: f"nullif(trim(translate(string_split({body}, '<<')[{i}], '<', ' ')), '')"
     repair = lambda e: f"translate({e}, 'OQILZSBG', '00112586')"
-    birth, expiry, personal = repair("substr(t, 14, 6)"), repair("substr(t, 22, 6)"), sub(repair("substr(t, 29)"), r"\D")
     value = lambda ch: f"CASE WHEN {ch} BETWEEN '0' AND '9' AND ascii({ch}) < 58 THEN ascii({ch}) - 48 WHEN ascii({ch}) BETWEEN 65 AND 90 THEN ascii({ch}) - 55 ELSE 0 END"
     digit = lambda e: f"coalesce(list_sum(list_transform(range(1, length({e}) + 1), lambda i: ({value(f'substr({e}, i, 1)')}) * [7, 3, 1][(i - 1) % 3 + 1])), 0)::BIGINT % 10"
     ok = lambda e, at: f"(NOT regexp_matches(substr(t, {at}, 1), '^\\d$') OR {digit(e)} = try_cast(substr(t, {at}, 1) AS int))"
@@ -157,16 +173,8 @@ def oracle_sql() -> dict[str, str]:
         "nrm13_repair_digits": (None, {"v": repair("s")}),
         "nrm15_comma_name": (None, {"v": f"CASE WHEN {has('s', comma)} THEN {get('s', comma, 2)} || ' ' || {get('s', comma, 1)} END"}),
         "nrm16_label_default": (None, {"v": f"'Date Of Birth ' || upper(substr(lower({sub('s', '[^A-Za-z]')}), 1, 1)) || substr(lower({sub('s', '[^A-Za-z]')}), 2)"}),
-        "mrz1_line1": ("upper(replace(s, ' ', ''))", {"surname": f"CASE WHEN contains(t, 'P<') AND len(string_split({body}, '<<')) >= 2 THEN {name(1)} END", "given_names": f"CASE WHEN contains(t, 'P<') AND len(string_split({body}, '<<')) >= 2 THEN {name(2)} END"}),
-        "mrz2_line2": (
-            sub("upper(s)", r"[^\w<]"),
-            {
-                "passport_number": f"CASE WHEN length(t) >= 28 AND {has(sub('substr(t, 1, 9)', '<'), '^[A-Z0-9]{7,9}$')} THEN {sub('substr(t, 1, 9)', '<')} END",
-                "date_of_birth": f"CASE WHEN length(t) >= 28 AND {has(birth, r'^\d{6}$')} THEN substr({birth}, 5, 2) || '.' || substr({birth}, 3, 2) || '.' || CASE WHEN try_cast(substr({birth}, 1, 2) AS int) > 30 THEN '19' ELSE '20' END || substr({birth}, 1, 2) END",
-                "date_of_expiry": f"CASE WHEN length(t) >= 28 AND {has(expiry, r'^\d{6}$')} THEN substr({expiry}, 5, 2) || '.' || substr({expiry}, 3, 2) || '.20' || substr({expiry}, 1, 2) END",
-                "cnic_number": f"CASE WHEN length(t) >= 28 AND length({personal}) >= 13 THEN {card(personal)} END",
-            },
-        ),
+        "mrz1_line1": ("upper(replace(s, ' ', ''))", zone1_sql("t")),
+        "mrz2_line2": (sub("upper(s)", r"[^\w<]"), zone2_sql("t")),
         "mrz3_zone_token": (None, {"v": "contains(s, '<')"}),
         "mrz4_check_digit": ("upper(s)", {"v": f"({digit('t')})::INTEGER"}),
         "mrz5_checks": (f"upper({strip('s')})", {"valid": f"length(t) >= 28 AND {okn} AND {okb}", "number_ok": f"length(t) >= 28 AND {okn}", "birth_ok": f"length(t) >= 28 AND {okb}", "expiry_ok": f"length(t) >= 28 AND {oke}"}),
