@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from docustrata.functions import geometry, scoring, text, validators
 from docustrata.operators import parse, reconcile, spatial, variants
 from docustrata.plans import fixtures
 from docustrata.plans.scalar import ISO_DATES, PARSER_DATES, card, date_sql, get, has, labels, q, strip, sub, zone1_sql, zone2_sql
+from docustrata.session import materialized
 from docustrata.sources import field_config as fc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +199,7 @@ def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconciled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reconciled fields and the parsed ones."""
     tokens, fields = passports(spark, sf_dir)
+    fields = materialized(spark, ("fields", sf_dir, uuid.uuid4().hex), fields)  # read thrice below
     docs = tokens.select("doc_id").distinct().withColumn("document_type", F.lit("passport"))
     return reconcile.reconcile(docs, fields, reconcile.zone_map(parse.zone_candidates(tokens)), tokens), fields
 
