@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_secrets": secrets.op7_sql(),
         "op8_licenses": licenses.op8_sql(),
         "op10_topk": topk.op10_sql(),
     }

@@ -171,3 +171,16 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_secrets(docs)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("marks")), 256).alias("base_sha256"), joined(F.col("marks")).alias("spans"))
+
+
+def op7_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    one = "SELECT doc_id, '{r.kind}' AS kind, {i} AS ord, {r.least} AS least, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {r.part}) AS parts FROM d WHERE regexp_matches(t, {p})"
+    found = " UNION ALL ".join(one.format(r=r, i=i, p=quote(r.pattern)) for i, r in enumerate(RULES))
+    length = lambda e: f"coalesce(list_sum(list_transform({e}, lambda x: length(x))), 0)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, ord, ({length('gaps[1:i]')} + {length('hits[1:i - 1]')})::BIGINT AS start, length(hits[i]) AS n FROM e WHERE length(parts[i]) >= least),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, ord) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
