@@ -61,7 +61,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a compressed Parquet table in the shared folder, without lineage. For wide rows."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that written() made, when nothing will read it any more."""
+    drop_path(table.sparkSession, table._scratch)
+    _written.pop(table._scratch, None)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docustrata.llm.common import checkpointed, free_name, let, ordered, word_count, written
+from docustrata.llm.common import checkpointed, free_name, let, ordered, word_count
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Words in a block, slots in an output shard, seed of draws and permutations.
@@ -94,13 +94,13 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """docs: one row per document with its stream place. slots: one row per output slot. taken: segments of documents in slots."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, keep: bool = False):
-        """keep: carries all columns of docs along with their places, for callers that need the texts."""
+    def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, carry: tuple[str, ...] = ()):
+        """carry: further columns, narrow ones, that docs keeps."""
         spark, self.block = docs.sparkSession, block
         sid, size = free_name(docs, "sid"), free_name(docs, "size")
         self.sid, self.size = sid, size
         sized = docs.withColumn(size, word_count(F.col(text)))
-        sized = checkpointed(sized.select(key, source, size)) if not keep else sized
+        sized = checkpointed(sized.select(key, source, size, *carry))
         sums = sized.groupBy(source).agg(F.sum(size).alias("__total"), F.count("*").alias("__n")).limit(MOST_SOURCES + 1).collect()
         if len(sums) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -113,9 +113,7 @@ class Mix:
         self.sources = spark.createDataFrame([(i, r[0], t, float(w), n) for i, (r, t, w, n) in enumerate(zip(sums, total, want, blocks, strict=True))], f"{sid} int, __source {kind}, source_size long, target double, __blocks long")
         named = F.broadcast(self.sources.select(sid, "__source"))
         placed = sized.join(named, sized[source].eqNullSafe(named["__source"])).drop("__source")
-        if keep:
-            placed = written(placed, "mix-in")
-        self.docs = ordered(placed, [sid, key, *([text] if keep else []), size], size, sid)
+        self.docs = ordered(placed, [sid, key, *carry, size], size, sid)
         plan, first = [], np.zeros(len(sums), dtype="int64")
         for k, got in shard_counts(quota, shard, seed):
             plan += [(k, int(i), int(first[i]), int(got[i]), blocks[i]) for i in np.flatnonzero(got)]
@@ -156,14 +154,17 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text
     names = list(docs.columns)
     docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # their names can clash with no other here
     key, source, text = (docs.columns[names.index(c)] for c in (key, source, text))
-    mix = Mix(docs, key, source, text, keep=True, **options)
-    picked = mix.mixed().groupBy("row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__n"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__at"))
-    whole = mix.docs.join(picked, "row")
+    # a row is named by 128 bits over all its columns; the texts meet what is read of them by that name, in one shuffle
+    every = docs.withColumns({"h1": F.xxhash64(*docs.columns), "h2": F.xxhash64(F.lit(1), *docs.columns)})
+    mix = Mix(every, key, source, text, carry=("h1", "h2"), **options)
+    read = mix.mixed().groupBy("row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__n"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__at"))
+    picked = checkpointed(read.join(mix.docs.select("row", "h1", "h2", F.col(mix.size).alias("__size")), "row").drop("row"))
+    if not mix.docs.groupBy("h1", "h2").count().where("count > 1").isEmpty():
+        every = every.dropDuplicates(["h1", "h2"])  # equal rows: each has its own share in picked
+    whole = every.join(picked, ["h1", "h2"])
     words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-
-
     part = let(words, lambda w: F.array_join(F.flatten(F.transform(F.col("__at"), lambda s: F.slice(w, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))), " "))
-    whole = whole.withColumn(text, F.when(F.col("__n") == F.col(mix.size), F.col(text)).otherwise(part))
+    whole = whole.withColumn(text, F.when(F.col("__n") == F.col("__size"), F.col(text)).otherwise(part))
     if "n_chars" in names:
         c = docs.columns[names.index("n_chars")]
         whole = whole.withColumn(c, F.length(text).cast(docs.schema[c].dataType))
