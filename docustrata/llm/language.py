@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docustrata.llm.common import held_out
+from docustrata.llm.common import discard, held_out
 from docustrata.llm.sampling import labelled_sample
-from docustrata.llm.tokens import chunks
+from docustrata.llm.tokens import chunks, release
 
 HIDDEN, WINDOW, SAMPLE, EXCERPT = 8, 128, 1500, 2000
 UNKNOWN = "und"
@@ -190,6 +190,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     chosen = labelled_sample(rows, one, key, text, "y", sample)
     begin = F.pmod(F.xxhash64("key", F.lit(5)), F.greatest(F.lit(1), F.length("text") - EXCERPT)).cast("int") + 1
     data = chosen.select("key", F.col("text").substr(begin, F.lit(EXCERPT)).alias("text"), F.col("label")).orderBy("key").collect()
+    discard(chosen)
     if not data:
         return None
     return train([r["text"].encode() for r in data], [r["label"] for r in data])
@@ -202,6 +203,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", name:
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         net = sent.value
         for b in chunks(batches, at):
             texts = pc.fill_null(b.column(at).cast(pa.large_string()), "")

@@ -46,8 +46,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docustrata.llm.common import checkpointed, written
-from docustrata.llm.tokens import chunks
+from docustrata.llm.common import checkpointed, discard, written
+from docustrata.llm.tokens import chunks, release
 
 WORDS, THRESHOLD = 5, (85, 100)
 TREES, DEPTH, START, SMALL, SLACK, SEED = 16, 10, 3, 16, 5.0, 20240229
@@ -142,6 +142,7 @@ def signed_rows(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in chunks(batches, 1):
             sets = shingle_sets(b.column(1), words)
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -161,9 +162,10 @@ class Forest:
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD):
         self.docs, self.key, self.text, self.words, self.threshold = docs.select(key, text), key, text, words, threshold
         made = written(signed_rows(docs, key, text, words), "signed")
-        self.rows = made.select(F.col(key), "n", "h1", "h2")
         groups = made.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.classes = written(groups.withColumn("c", F.monotonically_increasing_id()), "classes")
+        self.rows = checkpointed(made.select(F.col(key), "n", "h1", "h2"))
+        discard(made)
 
     def entries(self) -> DataFrame:
         """tree, label, c: a row for each class and tree."""
@@ -220,6 +222,7 @@ class Forest:
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for b in chunks(batches, 1):
                 sets = shingle_sets(b.column(1), words)
                 h1, h2 = set_names(sets)
@@ -267,9 +270,11 @@ class Forest:
         labels = linked(None, self.confirmed(best, sets))
         labels = linked(labels, self.confirmed(between(pairs, labels), sets))
         rest = self.regions(ends, labels)
-        return linked(labels, self.confirmed(rest, sets)) if rest is not None else labels
+        labels = linked(labels, self.confirmed(rest, sets))
+        discard(sets)
+        return labels
 
-    def regions(self, ends: DataFrame, labels: DataFrame) -> DataFrame | None:
+    def regions(self, ends: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components in regions that hold several, by adaptive depth."""
         open_ = self.entries().join(ends, "c").join(labels, "c", "left").select("tree", "label", "c", F.coalesce("l", "c").alias("l"))
         pairs, depth = None, START
@@ -293,6 +298,7 @@ class Forest:
         smallest = self.classes.select("c", "id").join(labels, "c").groupBy("l").agg(F.min("id").alias("least"))
         of = labels.join(smallest, "l").select("c", "least")
         named = checkpointed(self.classes.select("c", "id", "h1", "h2").join(of, "c", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id")))
+        discard(self.classes)
         key = F.col(self.key)
         out = self.rows.join(named, ["h1", "h2"], "left").select(self.key, F.col("n").alias("n_shingles"), F.when(F.col("h1").isNull(), key).otherwise(F.col("component_id")).alias("component_id"))
         return out.withColumn("kept", F.coalesce(key == F.col("component_id"), F.lit(True)))

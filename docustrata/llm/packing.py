@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docustrata.llm.common import checkpointed, written
-from docustrata.llm.tokens import END, chunks, crc, default_tokenizer, encoder, lists
+from docustrata.llm.tokens import CHUNK, END, chunks, crc, default_tokenizer, encoder, lists
 
 CAPACITY = 1024
 #: Share of CAPACITY at which a bin is emitted; tasks whose bins meet in one task of the next round; most items of a task.
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = TaskContext.get().partitionId() << 36
-        for b in chunks(batches, 1):
+        for b in chunks(batches, 1, CHUNK):
             row, piece, start, length, ids = [], [], [], [], []
             for i, x in enumerate(encoder(tokenizer).encode(b.column(1))):
                 x = np.append(x, np.uint32(end))

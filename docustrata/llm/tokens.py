@@ -21,6 +21,7 @@ are ordered by text; repeated rows are all written. Null doc_ids come first.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import zlib
@@ -230,13 +231,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The rows in batches whose column number text has about CHUNK bytes at most (a longer text is a batch alone)."""
+def release() -> None:
+    """Frees what a worker remembers for encoding. Workers outlive stages; the tasks of other operators call this first."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose column number text has about `most` bytes at most (a longer text is a batch alone)."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64"))
         i = 0
         while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHUNK, "right")))
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
             yield b.slice(i, j - i)
             i = j
 
@@ -258,7 +266,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, line = TaskContext.get().partitionId(), 0
-        for b in chunks(batches, 1):
+        for b in chunks(batches, 1, CHUNK):
             ids = [np.append(x, np.uint32(end)) for x in encoder(tokenizer).encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(range(line, line + len(ids)), pa.int64()), lists(ids)], names=[key, "part", "line", "ids"])
             line += len(ids)

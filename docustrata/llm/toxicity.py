@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docustrata.llm.common import free_name, held_out
+from docustrata.llm.common import discard, free_name, held_out
 from docustrata.llm.sampling import labelled_sample
-from docustrata.llm.tokens import chunks
+from docustrata.llm.tokens import chunks, release
 
-BUCKETS, TERMS, LEAST, RANK, SAMPLE = 1 << 20, 1024, 3, 8, 8000
+BUCKETS, TERMS, LEAST, RANK, SAMPLE = 1 << 20, 1024, 3, 8, 5000
 #: Score from which a document is rejected; words a worker remembers.
-THRESHOLD, REMEMBERED = 0.3, 500_000
+THRESHOLD, REMEMBERED = 0.3, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -108,6 +108,7 @@ def count_terms(sample: DataFrame) -> DataFrame:
     """term, n1, n0: texts of label 1 and 0 that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        release()
         for b in chunks(batches, 0):
             by = [{}, {}]
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -134,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     buckets = np.array([r["term"] for r in top], dtype="int64")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         finder = Finder(buckets)
         for batch in chunks(batches, 1):
             doc, term = finder.pairs(batch.column(1))
@@ -142,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = rows.schema["key"].dataType.simpleString()
     data = rows.select("key", "text", F.col("label").cast("int")).mapInArrow(encode, f"key {kind}, label int, has array<int>").orderBy("key").collect()
+    discard(rows)
     y = np.array([r["label"] for r in data], dtype=float)
     doc = np.repeat(np.arange(len(data)), [len(r["has"]) for r in data])
     term = np.array([t for r in data for t in r["has"]], dtype="int64")
@@ -177,6 +180,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS * (RANK + 2) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = sent.value
         finder = Finder(m.buckets)
         for b in chunks(batches, at):
