@@ -14,10 +14,11 @@
    label itself, so that no region, however large, lies in one task.
 4. Each class is first confirmed against its closest candidate (by prefixes summed
    over trees), then all candidates that still join different components.
-5. Regions that still hold several components are searched wholly: a region of up
-   to SMALL classes gives all its pairs of different components; a larger one grows
-   deeper, level by level, until its parts are small. Regions of one component,
-   which is what a group of copies has become by now, are left alone.
+5. Regions of depth START that still hold several components are searched wholly:
+   a region of up to SMALL classes gives all its pairs of different components, a
+   larger one is dealt into blocks, and every block meets every other one, on full
+   sets. The largest component of a region doesn't meet itself. Regions of one
+   component, which is what a group of copies has become by now, are left alone.
 
 Confirming: sizes must allow the threshold, signatures must not disagree by more
 than SLACK standard deviations, then the full sets are compared, which are read
@@ -51,6 +52,8 @@ from docustrata.llm.tokens import chunks, release
 
 WORDS, THRESHOLD = 5, (85, 100)
 TREES, DEPTH, START, SMALL, SLACK, SEED = 16, 10, 3, 16, 5.0, 20240229
+#: Classes and shingles of a block of a large region; a shingle of FEW classes or more is counted by a matrix product.
+BLOCK_ROWS, BLOCK_SHINGLES, FEW = 2048, 1 << 19, 64
 #: Shingles whose minima are taken at a time; they and their hashes fit a core's cache.
 AT_ONCE = 1 << 15
 
@@ -269,28 +272,48 @@ class Forest:
         best = each.groupBy("c").agg(F.max(F.struct("near", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
         labels = linked(None, self.confirmed(best, sets))
         labels = linked(labels, self.confirmed(between(pairs, labels), sets))
-        rest = self.regions(ends, labels)
-        labels = linked(labels, self.confirmed(rest, sets))
+        found, crowded = self.regions(ends, labels)
+        labels = linked(labels, self.confirmed(found, sets).unionByName(self.blocks(crowded, labels, sets)))
         discard(sets)
         return labels
 
-    def regions(self, ends: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components in regions that hold several, by adaptive depth."""
-        open_ = self.entries().join(ends, "c").join(labels, "c", "left").select("tree", "label", "c", F.coalesce("l", "c").alias("l"))
-        pairs, depth = None, START
-        while depth <= DEPTH:
-            open_ = open_.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 4 * depth)))
-            sizes = open_.groupBy("region").agg(F.count("*").alias("size"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("region", "size")
-            open_ = checkpointed(open_.join(sizes, "region"))
-            small = open_.where(F.col("size") <= SMALL).select("region", "c", "l")
-            one, two = small.select("region", F.col("c").alias("a"), F.col("l").alias("la")), small.select("region", F.col("c").alias("b"), F.col("l").alias("lb"))
-            found = checkpointed(one.join(two, "region").where("a < b and la <> lb").select("a", "b").distinct())
-            pairs = found if pairs is None else pairs.unionByName(found)
-            open_ = open_.where(F.col("size") > SMALL).drop("size", "region")
-            if open_.isEmpty():
-                break
-            depth += 1
-        return pairs.distinct()
+    def regions(self, ends: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of regions that hold several components: the pairs of different ones in those up to SMALL, and region, c of the larger ones."""
+        rows = self.entries().join(ends, "c").join(labels, "c", "left").select(F.xxhash64("tree", F.substring("label", 1, 4 * START)).alias("region"), "c", F.coalesce("l", "c").alias("l"))
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("region", "size")
+        open_ = checkpointed(rows.join(sizes, "region"))
+        small = open_.where(F.col("size") <= SMALL)
+        one, two = small.select("region", F.col("c").alias("a"), F.col("l").alias("la")), small.select("region", F.col("c").alias("b"), F.col("l").alias("lb"))
+        found = checkpointed(one.join(two, "region").where("a < b and la <> lb").select("a", "b").distinct())
+        return found, open_.where(F.col("size") > SMALL).select("region", "c")
+
+    def blocks(self, crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) that join all classes of a region that are linked in it. Blocks of its largest component
+        are numbered from -1 down, those of the others from 0 up; each of the latter meets all blocks."""
+        rows = checkpointed(crowded.join(labels, "c", "left").join(self.classes.select("c", "n"), "c").select("region", "c", "n", F.coalesce("l", "c").alias("l")))
+        each = rows.groupBy("region", "l").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+        of = each.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("size", "l", "n")).alias("m"), F.sum("size").alias("size"), F.sum("n").alias("n")).where("parts > 1")
+        many = lambda size, n: F.ceil(F.greatest(size / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
+        of = of.select("region", F.col("m.l").alias("main"), many(F.col("m.size"), F.col("m.n")).alias("mains"), many(F.col("size") - F.col("m.size"), F.col("n") - F.col("m.n")).alias("others"))
+        within = lambda k: F.pmod(F.xxhash64("c", F.lit(SEED)), F.col(k)).cast("int")
+        dealt = rows.join(of, "region").withColumn("block", F.when(F.col("l") == F.col("main"), -1 - within("mains")).otherwise(within("others")))
+        others = F.sequence(F.lit(0), F.col("others") - 1)
+        meet = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        mine = F.concat(F.transform(others, lambda k: meet(F.least("block", k), F.greatest("block", k))), F.transform(F.sequence(F.lit(1), F.col("mains")), lambda k: meet(F.col("block"), -k)))
+        theirs = F.transform(others, lambda k: meet(k, F.col("block")))
+        dealt = dealt.select("region", "c", "l", "block", F.explode(F.when(F.col("block") < 0, theirs).otherwise(mine)).alias("p")).select("region", "p.i", "p.j", "block", "c", "l")
+        num, den = self.threshold
+
+        def compare(t: pa.Table) -> pa.Table:
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            t = t.take(pa.array(np.argsort(t.column("block").to_numpy() != i, kind="stable")))  # i's rows first
+            c, l = t.column("c").to_numpy(), t.column("l").to_numpy().copy()  # noqa: E741
+            first = int((t.column("block").to_numpy() == i).sum())
+            got = links_between([np.frombuffer(x.as_buffer(), dtype="<u8") for x in t.column("set")], l, first, 0 if i == j else first, num, den)
+            one, two = (c[np.array([g[k] for g in got], dtype="int64")] for k in (0, 1))
+            return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+        return checkpointed(dealt.join(sets, "c").select("region", "i", "j", "block", "c", "l", "set").groupBy("region", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
     def result(self) -> DataFrame:
         """key, n_shingles, component_id, kept of every document."""
@@ -304,6 +327,51 @@ class Forest:
         return out.withColumn("kept", F.coalesce(key == F.col("component_id"), F.lit(True)))
 
 
+def links_between(sets: list[np.ndarray], l: np.ndarray, first: int, off: int, num: int, den: int) -> list[tuple[int, int]]:  # noqa: E741
+    """Pairs (p, q), p < first, q >= off, p < q, that link what the threshold links of different components l, without those that close a ring. l is changed."""
+    n = np.array([len(s) for s in sets], dtype="int64")
+    names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    held = np.bincount(code, minlength=len(names))
+    common = np.zeros((first, len(sets) - off), dtype="float32")
+    at = np.flatnonzero((held[code] >= 2) & (held[code] < FEW))
+    at = at[np.argsort(code[at], kind="stable")]  # rows of a shingle ascend
+    k, r = code[at], row[at]
+    for d in range(1, FEW - 1):
+        p = np.flatnonzero(k[d:] == k[:-d])
+        if not len(p):
+            break
+        p, q = r[p], r[p + d]
+        ok = (p < first) & (q >= off)
+        np.add.at(common, (p[ok], q[ok] - off), 1)
+    heavy = np.flatnonzero(held >= FEW)
+    place = np.full(len(names), -1)
+    place[heavy] = np.arange(len(heavy))
+    at = np.flatnonzero(place[code] >= 0)
+    at = at[np.argsort(place[code[at]], kind="stable")]
+    column, r = place[code[at]], row[at]
+    for start in range(0, len(heavy), 1024):
+        a, b = np.searchsorted(column, [start, start + 1024])
+        has = np.zeros((len(sets), 1024), dtype="float32")
+        has[r[a:b], column[a:b] - start] = 1
+        common += has[:first] @ has[off:].T
+    out = []
+    for a in range(0, first, 256):
+        b = min(first, a + 256)
+        ok = common[a:b].astype("int64") * (den + num) >= num * (n[a:b, None] + n[None, off:])
+        ok &= np.arange(a, b)[:, None] < np.arange(off, len(sets))[None, :]
+        while True:
+            ok &= l[a:b, None] != l[None, off:]
+            hit = np.flatnonzero(ok.any(1))
+            if not len(hit):
+                break
+            for p, q in zip((hit + a).tolist(), (ok[hit].argmax(1) + off).tolist(), strict=True):
+                if l[p] != l[q]:
+                    out.append((p, q))
+                    l[l == l[p]] = l[q]
+    return out
+
+
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     one, two = labels.withColumnsRenamed({"c": "a", "l": "la"}), labels.withColumnsRenamed({"c": "b", "l": "lb"})

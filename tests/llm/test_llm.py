@@ -92,6 +92,46 @@ def test_neardup_as_brute_force(spark):
     assert got == {k: (comp[i], n[i]) for i, (k, _) in enumerate(rows)}
 
 
+def template(rng, kept, edits, mark):
+    """A text on the common template: words from kept to the end are its own, and so are edits of those before."""
+    words = [f"t{i}" for i in range(kept)] + [f"{mark}-{i}" for i in range(kept, 1000)]
+    for p in rng.choice(kept, edits, replace=False):
+        words[p] = f"{mark}-e{p}"
+    return words
+
+
+def test_neardup_crowded(spark, monkeypatch):
+    """Texts on a common template, at about 0.82, fill every region; pairs at about 0.86 are found among them all the same."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        one = template(rng, 902, 0, f"d{k}")
+        two = [f"x{k}-{i}" if i >= 925 else w for i, w in enumerate(one)]
+        rows += [" ".join(one), " ".join(two)]
+    rows = list(enumerate(rows))
+    comp, _ = components(rows)
+    assert len(set(comp)) == 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: comp[i] for i, (k, _) in enumerate(rows)}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 40)  # blocks meet blocks
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_links_between_as_brute_force():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(400, rng.integers(60, 90))).astype("<u8") for _ in range(20)]
+    sets = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.05], rng.choice(400, 3).astype("<u8")])) for s in sets for _ in range(8)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    for first, off in ((len(sets), 0), (80, 80)):
+        l = np.arange(len(sets))  # noqa: E741
+        got = neardup.links_between(sets, l, first, off, 85, 100)
+        assert got and all(linked(sets[p], sets[q]) for p, q in got)
+        want = [(p, q) for p in range(first) for q in range(max(off, p + 1), len(sets)) if linked(sets[p], sets[q])]
+        assert len(want) > len(got) and all(l[p] == l[q] for p, q in want)
+
+
 def test_neardup_query(spark, texts):
     rows = sorted(texts.items())
     comp, n = components(rows)
