@@ -13,6 +13,8 @@ The machine is fitted by Adam in numpy on SAMPLE rows of each label at most. Of
 the terms of the sample, counted over executors, the TERMS with the largest
 chi-square against the label become features, if LEAST texts have them. Fitting
 takes labels from rows that are not held out only; scores use the text alone.
+Labels are thinned at different rates; the log of their ratio is taken from the
+bias after fitting, so that scores are at the rate of label 1 in the whole table.
 
 Scoring is one pass over the table without a shuffle: words are made distinct
 within a batch, looked up once, and only features go on to the sums.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docustrata.llm.common import discard, free_name, held_out
-from docustrata.llm.sampling import labelled_sample
+from docustrata.llm.sampling import labelled_sample, sampling_rates
 from docustrata.llm.tokens import chunks, release
 
 BUCKETS, TERMS, LEAST, RANK, SAMPLE = 1 << 20, 1024, 3, 8, 5000
@@ -124,7 +126,8 @@ def count_terms(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, features: int = TERMS, rank: int = RANK, seed: int = 1) -> Machine:
     """labels: rows (key, label 0 or 1) to learn from; the caller leaves out what is held out."""
     one = labels.groupBy(key).agg(F.max(label).cast("int").alias("y")).where("y in (0, 1)")
-    rows = labelled_sample(docs, one, key, text, "y", sample, 2)
+    rates = sampling_rates(one, key, "y", sample, 2)
+    rows = labelled_sample(docs, one, key, text, "y", sample, 2, rates)
     n1, n0 = (int(x or 0) for x in rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first())
     none = np.empty(0, dtype="int64")
     if not n1 or not n0:
@@ -148,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = np.array([r["label"] for r in data], dtype=float)
     doc = np.repeat(np.arange(len(data)), [len(r["has"]) for r in data])
     term = np.array([t for r in data for t in r["has"]], dtype="int64")
-    return train(Machine(float(np.log(n1 / n0)), buckets, np.zeros(len(buckets)), np.random.default_rng(seed).normal(0, 0.01, (len(buckets), rank))), doc, term, y)
+    machine = train(Machine(float(np.log(n1 / n0)), buckets, np.zeros(len(buckets)), np.random.default_rng(seed).normal(0, 0.01, (len(buckets), rank))), doc, term, y)
+    machine.bias -= float(np.log(rates[1] / rates[0]))
+    return machine
 
 
 def train(m: Machine, doc: np.ndarray, term: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Machine:

@@ -314,6 +314,18 @@ def test_toxicity_held_out(spark):
     assert hit / toxic > 0.8 and wrong / clean < 0.02
 
 
+def test_toxicity_sample_keeps_scores(spark):
+    """Label 0 is thinned to a ninth; scores and rejections stay as with all rows."""
+    rng = np.random.default_rng(4)
+    y = np.arange(3000) % 10 == 0
+    bad, words = rng.random(3000) < np.where(y, 0.6, 0.1), rng.integers(0, 50, (3000, 8))
+    rows = [(i, " ".join(["insult"] * bool(bad[i]) + ["plain" + "abcdefghij"[w // 10] + "klmnopqrst"[w % 10] for w in words[i]]), int(y[i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    both = spark.createDataFrame([(1, "insult"), (0, "other")], "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in toxicity.score(both, toxicity.fit(df, df, features=1, sample=n)).collect()} for n in (300, 3000))
+    assert all(abs(one[k] - two[k]) < 0.1 for k in one) and 0.3 < one[1] and one[0] < 0.1 and 0.3 < two[1] and two[0] < 0.1
+
+
 def test_toxicity_odd(spark, odd, none):
     bare = odd.drop("score", "label")
     m = toxicity.fit(bare, spark.createDataFrame([(4, 1), (4, 0), (6, 0), (7, None)], "doc_id long, toxic int"))
