@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """The rows, checkpointed, and how many of them fulfil `what` (all of them if not named), counted while they are written."""
+    seen = Observation()
+    rows = checkpointed(df.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
+    return rows, int(seen.get["n"])
+
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -72,19 +79,35 @@ def discard(table: DataFrame) -> None:
     _written.pop(table._scratch, None)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that no column of df has, in any case."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, base: str, *others: str) -> str:
+    """A column name that no column of df has, nor is among the others, in any case."""
+    taken = {c.lower() for c in (*df.columns, *others)}
     while base.lower() in taken:
         base += "_"
     return base
 
 
+def fresh_names(df: DataFrame, *names: str) -> None:
+    """Raises if df has a column of one of these names, in any case: an operator's own columns would hide it or be hidden."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns named as results: {', '.join(sorted(taken))}; rename them or give the results other names")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body uses it, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def salted(rows: DataFrame, of: DataFrame, key: str, by: list[str], salts: int = 16) -> DataFrame:
+    """rows with the columns of `of` (one row for each key at most), null where it has none. Rows of one key are dealt to
+    `salts` parts by a hash of the columns `by`, so that a key with a great share of the rows is no single task's. The join
+    is by sorting: what `of` grows to is not in the statistics that a broadcast would be chosen by."""
+    salt = free_name(rows, "salt", *of.columns)
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt)
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(of.select("*", each).hint("merge"), [key, salt], "left").drop(salt)
+
+
 def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 

@@ -7,27 +7,30 @@
 2. A class has TREES labels of DEPTH minima each. Each tree is a sorted order of
    all classes by their label in it; classes that share a prefix of d minima are
    a region of depth d, and two sets of similarity s share it with chance s^d.
-   At depth START a pair at the threshold shares a region of some tree but for
-   about one in a million.
-3. Candidates are the longest-common-prefix neighbours: classes next to each other
-   in some order that share START minima. The orders are range-partitioned by the
-   label itself, so that no region, however large, lies in one task.
-4. Each class is first confirmed against its closest candidate (by prefixes summed
-   over trees), then all candidates that still join different components.
-5. Regions of depth START that still hold several components are searched wholly:
-   a region of up to SMALL classes gives all its pairs of different components, a
-   larger one is dealt into blocks, and every block meets every other one, on full
-   sets. The largest component of a region doesn't meet itself. Regions of one
-   component, which is what a group of copies has become by now, are left alone.
-
-Confirming: sizes must allow the threshold, signatures must not disagree by more
-than SLACK standard deviations, then the full sets are compared, which are read
-again for candidates only. Links inside a component are not looked for: they
-change no component.
+   A pair at 0.8 shares no region of depth START in any tree with a chance of
+   about one in two million (at 0.85 one in 200 million).
+3. First candidates are the longest-common-prefix neighbours: classes next to each
+   other in some order that share START minima. The orders are range-partitioned by
+   the label itself, so that no region, however large, lies in one task. Each class
+   is confirmed against its closest one (by prefixes summed over trees), then all
+   neighbours that are still in different components.
+4. Regions of depth START that still hold several components are searched wholly,
+   but for pairs that have been compared. A region of up to SMALL classes gives its
+   pairs. A larger one grows deeper, class by class, until it has SMALL at most, and
+   gives its pairs there; pairs that part on the way down come from an exact join:
+   the classes of larger regions, rarest shingles first, are linked only if they
+   share one of their first n - ceil(t n) + 1 of n shingles (prefix filter), and
+   every pair that does is compared. A shingle that more than SHARED classes have
+   among their first is dealt into blocks, and every block meets every other one.
+
+Confirming compares full sets, which are read again for candidates only. Nothing
+else rejects a pair but sizes that can't reach the threshold. Links inside a
+component are not looked for: they change no component.
 
 Documents, links and components stay distributed; rounds are checkpointed.
-Components come from label propagation with pointer jumping over the contracted
-graph of what earlier rounds found.
+Components come from label propagation with pointer jumping; a class has at most
+two neighbours in each tree, so no task gets the links of a hub. Joins on a label,
+which all members of a component share, are salted.
 
 Null and empty texts and texts without words have an empty set, are linked with
 nothing and are their own component. Rows that share an id stand for one document
@@ -44,16 +47,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docustrata.llm.common import checkpointed, discard, written
+from docustrata.llm.common import WORD, checkpointed, counted, discard, salted, written
 from docustrata.llm.tokens import chunks, release
 
-WORDS, THRESHOLD = 5, (85, 100)
-TREES, DEPTH, START, SMALL, SLACK, SEED = 16, 10, 3, 16, 5.0, 20240229
-#: Classes and shingles of a block of a large region; a shingle of FEW classes or more is counted by a matrix product.
+WORDS, THRESHOLD = 5, (80, 100)
+TREES, DEPTH, START, SMALL, SEED = 20, 8, 3, 16, 20240229
+#: Classes that share a shingle among their first before they are compared in blocks.
+SHARED = 64
+#: Classes and shingles of a block; a shingle of FEW classes or more is counted by a matrix product.
 BLOCK_ROWS, BLOCK_SHINGLES, FEW = 2048, 1 << 19, 64
+#: A class of copies with more than one in MOST rows is joined by broadcast; there are MOST such classes at most.
+MOST = 1000
 #: Shingles whose minima are taken at a time; they and their hashes fit a core's cache.
 AT_ONCE = 1 << 15
 
@@ -160,25 +167,32 @@ def signed_rows(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 class Forest:
-    """classes: c, id (smallest of its documents), n, h1, h2, sig."""
+    """classes: c, id (smallest of its documents), copies, n, h1, h2, sig."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD):
         self.docs, self.key, self.text, self.words, self.threshold = docs.select(key, text), key, text, words, threshold
         made = written(signed_rows(docs, key, text, words), "signed")
-        groups = made.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        groups = made.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.classes = written(groups.withColumn("c", F.monotonically_increasing_id()), "classes")
-        self.rows = checkpointed(made.select(F.col(key), "n", "h1", "h2"))
+        self.rows, self.count = counted(made.select(F.col(key), "n", "h1", "h2"))
         discard(made)
 
     def entries(self) -> DataFrame:
-        """tree, label, c: a row for each class and tree."""
+        """tree, label, c, n: a row for each class and tree."""
         w = 4 * DEPTH
         trees = F.explode(F.array(*(F.struct(F.lit(t).cast("byte").alias("tree"), F.substring("sig", t * w + 1, w).alias("label")) for t in range(TREES))))
-        return self.classes.select("c", trees.alias("e")).select("e.tree", "e.label", "c")
+        return self.classes.select("c", "n", trees.alias("e")).select("e.tree", "e.label", "c", "n")
+
+    def fits(self, one: Column, two: Column) -> Column:
+        """Whether sets of these sizes can reach the threshold."""
+        num, den = self.threshold
+        return F.least(one, two) * den >= F.greatest(one, two) * num
 
     def neighbours(self) -> DataFrame:
-        """a, b (a < b), near: summed common prefixes of classes that stand next to each other in some order."""
+        """a, b (a < b), near, fits: summed common prefixes of classes that stand next to each other in some order, and whether their sizes allow a link."""
         order = self.entries().repartitionByRange("tree", "label", "c").sortWithinPartitions("tree", "label", "c")
+        num, den = self.threshold
+        names = ["a", "b", "near", "fits", "tree", "label", "n"]
 
         def common(one: list[bytes], two: list[bytes]) -> np.ndarray:
             x, y = (np.frombuffer(b"".join(v), dtype="uint32").reshape(-1, DEPTH) for v in (one, two))
@@ -187,39 +201,40 @@ class Forest:
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Pairs of a partition, and its first and last row (near: -1), which may have a neighbour in another one."""
-            names = ["a", "b", "near", "tree", "label"]
-            edge = lambda r: pa.RecordBatch.from_arrays([pa.array([r[2]]), pa.array([r[2]]), pa.array([-1], pa.int32()), pa.array([r[0]], pa.int8()), pa.array([r[1]], pa.binary())], names=names)
+
+            def edge(tree: int, label: bytes, c: int, n: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([c]), pa.array([c]), pa.array([-1], pa.int32()), pa.array([False]), pa.array([tree], pa.int8()), pa.array([label], pa.binary()), pa.array([n])], names=names)
+
             last = None
             for b in batches:
                 if not b.num_rows:
                     continue
-                tree, label, c = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+                tree, label, c, n = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()
                 if last is None:
-                    yield edge((int(tree[0]), label[0], int(c[0])))
+                    yield edge(int(tree[0]), label[0], int(c[0]), int(n[0]))
                 else:
-                    tree, label, c = np.concatenate([[last[0]], tree]), [last[1], *label], np.concatenate([[last[2]], c])
+                    tree, label, c, n = np.concatenate([[last[0]], tree]), [last[1], *label], np.concatenate([[last[2]], c]), np.concatenate([[last[3]], n])
                 if len(c) > 1:
                     near = np.where(tree[1:] == tree[:-1], common(label[:-1], label[1:]), 0)
                     k = np.flatnonzero(near >= START)
-                    one, two = c[:-1][k], c[1:][k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(near[k].astype("int32")), pa.nulls(len(k), pa.int8()), pa.nulls(len(k), pa.binary())], names=names)
-                last = (int(tree[-1]), label[-1], int(c[-1]))
+                    one, two, small, large = c[:-1][k], c[1:][k], np.minimum(n[:-1], n[1:])[k], np.maximum(n[:-1], n[1:])[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(near[k].astype("int32")), pa.array(small * den >= large * num), pa.nulls(len(k), pa.int8()), pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.int64())], names=names)
+                last = (int(tree[-1]), label[-1], int(c[-1]), int(n[-1]))
             if last is not None:
-                yield edge(last)
+                yield edge(*last)
 
-        found = checkpointed(order.mapInArrow(walk, "a long, b long, near int, tree byte, label binary"))
+        found = checkpointed(order.mapInArrow(walk, "a long, b long, near int, fits boolean, tree byte, label binary, n long"))
         at = Window.partitionBy("tree").orderBy("label", "a")  # two rows of each partition
-        edges = found.where("near < 0").select("tree", "label", "a", F.lead("label").over(at).alias("after"), F.lead("a").over(at).alias("b"))
+        edges = found.where("near < 0").select("tree", "label", "a", "n", *(F.lead(c).over(at).alias(to) for c, to in (("label", "after"), ("a", "b"), ("n", "m"))))
         shared = F.lit(0)
         for d in range(START, DEPTH + 1):
             shared = F.when(F.substring("label", 1, 4 * d) == F.substring("after", 1, 4 * d), d).otherwise(shared)
-        edges = edges.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), shared.alias("near")).where(F.col("near") >= START)
-        return checkpointed(found.where("near >= 0").select("a", "b", "near").unionByName(edges).groupBy("a", "b").agg(F.sum("near").alias("near")))
+        edges = edges.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), shared.alias("near"), self.fits(F.col("n"), F.col("m")).alias("fits")).where(F.col("near") >= START)
+        return checkpointed(found.where("near >= 0").select("a", "b", "near", "fits").unionByName(edges).groupBy("a", "b").agg(F.sum("near").alias("near"), F.first("fits").alias("fits")))
 
     def sets_of(self, candidates: DataFrame) -> DataFrame:
         """c, set (hashes, ascending, as bytes) of the classes in candidates, from the text of a document that has the smallest id."""
         names = self.classes.select("c", "id", "h1", "h2").join(candidates, "c")
-        kind = self.docs.schema[self.key].dataType.simpleString()
         with_id = self.docs.withColumnRenamed(self.key, "id").join(names.where("id is not null").select("id").distinct(), "id", "left_semi")
         texts = with_id.unionByName(self.docs.where(F.col(self.key).isNull()).select(F.col(self.key).alias("id"), self.text)).select("id", self.text)
         words = self.words
@@ -231,23 +246,12 @@ class Forest:
                 h1, h2 = set_names(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["h1", "h2", "set"])
 
-        del kind
         made = texts.mapInArrow(run, "h1 long, h2 long, set binary")
         return written(made.join(names.select("c", "h1", "h2"), ["h1", "h2"]).groupBy("c").agg(F.first("set").alias("set")), "sets")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame, by_signature: bool = True) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that the threshold links."""
         num, den = self.threshold
-        size = self.classes.select("c", "n", "sig")
-        one, two = (size.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-        both = pairs.select("a", "b").join(one, "a").join(two, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        least = num / den - SLACK * (num / den * (1 - num / den) / (TREES * DEPTH)) ** 0.5
-
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="uint32").reshape(b.num_rows, -1) for k in (2, 3))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -258,41 +262,78 @@ class Forest:
                     linked.append(common * den >= num * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        near = both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
-        full = near.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
-        return checkpointed(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+        one, two = (sets.select(F.col("c").alias(c), F.col("set").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+        return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
     def components(self) -> DataFrame:
         """c, l: the component of each class that has a link; l is the smallest c in it."""
         pairs = self.neighbours()
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
         sets = self.sets_of(ends)
+        fit = pairs.where("fits")
         # the closest candidate of each class
-        each = pairs.select(F.col("a").alias("c"), F.col("b").alias("o"), "near").unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("o"), "near"))
-        best = each.groupBy("c").agg(F.max(F.struct("near", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
-        labels = linked(None, self.confirmed(best, sets))
-        labels = linked(labels, self.confirmed(between(pairs, labels), sets))
-        found, crowded = self.regions(ends, labels)
-        labels = linked(labels, self.confirmed(found, sets).unionByName(self.blocks(crowded, labels, sets)))
+        each = fit.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("e"), "near")
+        best = each.groupBy("e.c").agg(F.max(F.struct("near", "e.o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
+        first = self.confirmed(best, sets)
+        # classes of one label are linked, those of one component needn't have the same label yet
+        rest = self.confirmed(between(fit, connected(first, 1)), sets)
+        labels = connected(first.unionByName(rest))
+        open_, left = self.regions(ends, labels)
+        if left:
+            labels = self.searched(open_, labels, fit, sets)
         discard(sets)
         return labels
 
-    def regions(self, ends: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of regions that hold several components: the pairs of different ones in those up to SMALL, and region, c of the larger ones."""
-        rows = self.entries().join(ends, "c").join(labels, "c", "left").select(F.xxhash64("tree", F.substring("label", 1, 4 * START)).alias("region"), "c", F.coalesce("l", "c").alias("l"))
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("region", "size")
-        open_ = checkpointed(rows.join(sizes, "region"))
-        small = open_.where(F.col("size") <= SMALL)
-        one, two = small.select("region", F.col("c").alias("a"), F.col("l").alias("la")), small.select("region", F.col("c").alias("b"), F.col("l").alias("lb"))
-        found = checkpointed(one.join(two, "region").where("a < b and la <> lb").select("a", "b").distinct())
-        return found, open_.where(F.col("size") > SMALL).select("region", "c")
-
-    def blocks(self, crowded: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    def regions(self, ends: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+        """region, size, tree, label, c, n, l of regions of depth START that hold several components and more than the two classes of a compared pair; number of rows."""
+        rows = self.entries().join(ends, "c").join(labels, "c", "left")
+        rows = rows.select(F.xxhash64("tree", F.substring("label", 1, 4 * START)).alias("region"), "tree", "label", "c", "n", F.coalesce("l", "c").alias("l"))
+        return counted(several(rows, 3))
+
+    def searched(self, open_: DataFrame, labels: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
+        """labels after all pairs of these regions."""
+        narrow = ("region", "size", "c", "n", "l")
+        crowded = open_.where(F.col("size") > SMALL)
+        # adaptive depth: the first one at which a class has SMALL beside it at most
+        deep = crowded.select("c", "n", "l", "tree", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.xxhash64("tree", F.substring("label", 1, 4 * d)).alias("region")) for d in range(START + 1, DEPTH + 1)))).alias("e"))
+        deep = several(deep.select("c", "n", "l", "tree", "e.d", "e.region"), 2, "d").where(F.col("size") <= SMALL)
+        deep = deep.groupBy("tree", "c", "n", "l").agg(F.min(F.struct("d", "region", "size")).alias("m")).select("m.region", "m.size", "c", "n", "l")
+        found = open_.where(F.col("size") <= SMALL).select(*narrow).unionByName(deep)
+        prefixes, left = self.prefixes(crowded.select("c", "n", "l").distinct(), sets)
+        found = self.pairs_of(found.unionByName(prefixes.where(F.col("size") <= SHARED).select(*narrow)))
+        links = self.confirmed(found.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets)
+        if left:
+            links = links.unionByName(self.blocks(prefixes.where(F.col("size") > SHARED).select("region", "c", "n", "l"), sets))
+        return linked(labels, links)
+
+    def pairs_of(self, rows: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of different components within a region whose sizes allow a link."""
+        one, two = (rows.select("region", F.col("c").alias(x), F.col("l").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        return one.join(two, "region").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & self.fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+
+    def prefixes(self, classes: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+        """region (a shingle), size, c, n, l: the first shingles of each class, rarest first, that classes of several components have among theirs; number of rows."""
+        num, den = self.threshold
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                every = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in b.column(3)]
+                row = pa.array(np.repeat(np.arange(len(every)), [len(x) for x in every]))
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([b.column(i).take(row) for i in range(3)] + [pa.array(np.concatenate(every))], names=["c", "n", "l", "region"])
+
+        every = classes.join(sets, "c").select("c", "n", "l", "set").mapInArrow(spread, "c long, n long, l long, region long")
+        held = every.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
+        each = Window.partitionBy("c")
+        ranked = every.join(held, "region").select("region", "c", "n", "l", F.row_number().over(each.orderBy("held", "region")).alias("k"), F.count("*").over(each).alias("common"))
+        first = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+        return counted(several(ranked.where((F.col("n") - F.col("common")) + F.col("k") <= first).select("region", "c", "n", "l"), 2))
+
+    def blocks(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) that join all classes of a region that are linked in it. Blocks of its largest component
         are numbered from -1 down, those of the others from 0 up; each of the latter meets all blocks."""
-        rows = checkpointed(crowded.join(labels, "c", "left").join(self.classes.select("c", "n"), "c").select("region", "c", "n", F.coalesce("l", "c").alias("l")))
         each = rows.groupBy("region", "l").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-        of = each.groupBy("region").agg(F.count("*").alias("parts"), F.max(F.struct("size", "l", "n")).alias("m"), F.sum("size").alias("size"), F.sum("n").alias("n")).where("parts > 1")
+        of = each.groupBy("region").agg(F.max(F.struct("size", "l", "n")).alias("m"), F.sum("size").alias("size"), F.sum("n").alias("n"))
         many = lambda size, n: F.ceil(F.greatest(size / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
         of = of.select("region", F.col("m.l").alias("main"), many(F.col("m.size"), F.col("m.n")).alias("mains"), many(F.col("size") - F.col("m.size"), F.col("n") - F.col("m.n")).alias("others"))
         within = lambda k: F.pmod(F.xxhash64("c", F.lit(SEED)), F.col(k)).cast("int")
@@ -319,12 +360,18 @@ class Forest:
         """key, n_shingles, component_id, kept of every document."""
         labels = self.components()
         smallest = self.classes.select("c", "id").join(labels, "c").groupBy("l").agg(F.min("id").alias("least"))
-        of = labels.join(smallest, "l").select("c", "least")
-        named = checkpointed(self.classes.select("c", "id", "h1", "h2").join(of, "c", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id")))
+        of = by_label(labels, smallest).select("c", "least")
+        named = checkpointed(self.classes.select("c", "id", "copies", "h1", "h2").join(of, "c", "left").select("h1", "h2", "copies", F.coalesce("least", "id").alias("component_id")))
         discard(self.classes)
-        key = F.col(self.key)
-        out = self.rows.join(named, ["h1", "h2"], "left").select(self.key, F.col("n").alias("n_shingles"), F.when(F.col("h1").isNull(), key).otherwise(F.col("component_id")).alias("component_id"))
-        return out.withColumn("kept", F.coalesce(key == F.col("component_id"), F.lit(True)))
+        key, many = F.col(self.key), F.col("copies") * MOST > self.count
+        hot = named.where(many).select("h1", "h2", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+        # a class of copies with a great share of all rows is told to every task; there are few such classes, whatever the input
+        rows = self.rows.join(F.broadcast(hot), ["h1", "h2"], "left")
+        out = lambda df, component: df.select(self.key, F.col("n").alias("n_shingles"), component.alias("component_id"))
+        lone, told = rows.where("h1 is null"), rows.where("hot")
+        others = rows.where("h1 is not null and hot is null").join(named.where(~many), ["h1", "h2"], "left")
+        every = out(lone, key).unionByName(out(told, F.col("hot_id"))).unionByName(out(others, F.col("component_id")))
+        return every.withColumn("kept", F.coalesce(key == F.col("component_id"), F.lit(True)))
 
 
 def links_between(sets: list[np.ndarray], l: np.ndarray, first: int, off: int, num: int, den: int) -> list[tuple[int, int]]:  # noqa: E741
@@ -372,35 +419,48 @@ def links_between(sets: list[np.ndarray], l: np.ndarray, first: int, off: int, n
     return out
 
 
+def several(rows: DataFrame, least: int, *more: str) -> DataFrame:
+    """rows (region, c, n, l and others) of regions that hold several components and `least` classes or more, with the region's size."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("l").alias("l0"), F.max("l").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("size") >= least))
+    return rows.join(sizes.select("region", "size"), "region")
+
+
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
+    """The pairs whose ends have different labels."""
     one, two = labels.withColumnsRenamed({"c": "a", "l": "la"}), labels.withColumnsRenamed({"c": "b", "l": "lb"})
     return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def linked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def by_label(labels: DataFrame, of: DataFrame) -> DataFrame:
+    """labels (c, l) with the columns of `of` (a row for each l at most), null where it has none."""
+    return salted(labels, of, "l", ["c"])
+
+
+def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (c, l) after links (a, b) between classes are added to them."""
-    if labels is not None:
-        one, two = labels.withColumnsRenamed({"c": "a", "l": "la"}), labels.withColumnsRenamed({"c": "b", "l": "lb"})
-        links = links.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-        fresh = connected(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
-        every = labels.unionByName(links.select(F.col("a").alias("c"), F.col("la").alias("l"))).unionByName(links.select(F.col("b").alias("c"), F.col("lb").alias("l"))).distinct()
-        return checkpointed(every.join(fresh.select(F.col("c").alias("l"), F.col("l").alias("to")), "l", "left").select("c", F.coalesce("to", "l").alias("l")))
-    return connected(links)
+    one, two = labels.withColumnsRenamed({"c": "a", "l": "la"}), labels.withColumnsRenamed({"c": "b", "l": "lb"})
+    links, left = counted(links.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    if not left:
+        return labels
+    fresh = connected(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("la").alias("l")), F.struct(F.col("b").alias("c"), F.col("lb").alias("l")))).alias("e")).select("e.c", "e.l")
+    every = labels.unionByName(ends.join(labels.select("c"), "c", "left_anti").distinct())
+    return checkpointed(by_label(every, fresh.select(F.col("c").alias("l"), F.col("l").alias("to"))).select("c", F.coalesce("to", "l").alias("l")))
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 0) -> DataFrame:
     """c, l: for each end of a link the smallest end of its component. Each round takes the smallest label
-    of the neighbours and then follows labels of labels, so that chains shrink to less than half."""
-    both = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).withColumnRenamed("a", "c"))
+    of the neighbours and then follows labels of labels, so that chains shrink to less than half. With a
+    number of rounds it stops after them; labels are then ends of the same component, not yet the smallest."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("c"), F.least("a", "l").alias("l"))
     while True:
         heard = both.join(labels, F.col("b") == F.col("c")).groupBy("a").agg(F.min("l").alias("m"))
-        nearer = checkpointed(labels.join(heard, F.col("c") == F.col("a")).select("c", F.col("l").alias("was"), F.least("l", "m").alias("l")))
+        nearer = labels.join(heard, F.col("c") == F.col("a")).select("c", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jump = nearer.select(F.col("c").alias("l"), F.col("l").alias("to"))
-        again = checkpointed(nearer.join(jump, "l", "left").select("c", "was", F.least("l", F.coalesce("to", "l")).alias("l")))
-        labels = again.select("c", "l")
-        if again.where("l <> was").isEmpty():
+        again, changed = counted(nearer.join(jump, "l", "left").select("c", "was", F.least("l", F.coalesce("to", "l")).alias("l")), F.col("l") != F.col("was"))
+        labels, rounds = again.select("c", "l"), rounds - 1
+        if not changed or not rounds:
             return labels
 
 
@@ -409,20 +469,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group: that of the smallest id. Of rows that repeat a kept id with the same text one stays."""
+    """docs with one document of each group: that of the smallest id; rows without words all stay. A row is told by its
+    id and text, so that rows that share an id go only if their own text is in a group of a smaller id. Of rows that
+    repeat both one stays."""
     names = list(docs.columns)
     docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key, text = (docs.columns[names.index(c)] for c in (key, text))
-    found = checkpointed(near_duplicates(docs, key, text, **options))
-    gone = found.where(~F.col("kept")).select(key).distinct()
-    out = docs.join(gone, key, "left_anti")
-    if not found.where("kept").groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty():
-        # rows that share an id and have text are one document: the smallest text stays
-        rank = F.row_number().over(Window.partitionBy(key, F.col(text).isNull()).orderBy(text))
-        out = out.withColumn("__rank", rank).where((F.col("__rank") == 1) | F.col(key).isNull() | F.col(text).isNull()).drop("__rank")
+    row = F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    marked = docs.withColumn("row", row)
+    found = checkpointed(near_duplicates(marked, "row", text, **options))
+    gone = found.where(~F.col("kept")).select("row").distinct()
+    out = marked.join(gone, "row", "left_anti")
+    if not found.where("kept and n_shingles > 0").groupBy("row").count().where("count > 1").isEmpty():
+        worded = F.col(text).isNotNull() & F.col(text).rlike(WORD)
+        out = out.where(worded).dropDuplicates(["row"]).unionByName(out.where(~worded))
     return out.select(*docs.columns).toDF(*names)
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs)
+    return near_duplicates(docs, threshold=(85, 100))
