@@ -8,17 +8,21 @@ whole texts whatever their length; states start at zero in each window, which
 lets windows of all documents run side by side as matrix products.
 
 The network is trained in numpy by backpropagation through time with Adam, on
-windows from SAMPLE documents of each language at most. Documents that are held
-out take no part. A prediction sees the text alone. Scoring is one pass over the
-table, without a shuffle.
+windows drawn from all over the whole texts of SAMPLE documents of each language at
+most; the windows are drawn on the executors, DRAWN of a document and MOST in all,
+so that the driver's share is bounded. All languages are learned; more than
+MOST_LABELS are an error. Documents that are held out take no part. A prediction
+sees the text alone. Scoring is one pass over the table, without a shuffle.
 
 Null texts and texts without a letter are `und` with score 0, and so is
 everything if there was nothing to learn from. Extra columns and repeated rows
-are kept as they are; an empty table gives an empty result.
+are kept as they are, but columns named as the results are refused with an error;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docustrata.llm.common import discard, held_out
-from docustrata.llm.sampling import labelled_sample
+from docustrata.llm.common import discard, fresh_names, held_out
+from docustrata.llm.sampling import labelled_sample, sampling_rates
 from docustrata.llm.tokens import chunks, release
 
-HIDDEN, WINDOW, SAMPLE, EXCERPT = 8, 128, 1500, 2000
+HIDDEN, WINDOW, SAMPLE, MOST_LABELS = 8, 128, 1500, 1000
+#: Bytes of a window that is learned from; windows of a document, and of all.
+LEARNED, DRAWN, MOST = 64, 32, 400_000
 UNKNOWN = "und"
 #: Windows that run side by side.
 ABREAST = 2048
@@ -161,7 +167,7 @@ class Network:
         return loss, g
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, width: int = 64, batch: int = 256, steps: int = 300, rate: float = 0.03, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, width: int = LEARNED, batch: int = 256, steps: int = 300, rate: float = 0.03, seed: int = 1) -> Network:
     """Batches hold each language equally often."""
     names = sorted(set(labels))
     net, rng = Network.fresh(names, hidden, seed), np.random.default_rng(seed)
@@ -183,21 +189,37 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, width: in
     return net
 
 
+def drawn(text: bytes, most: int, width: int = LEARNED) -> bytes:
+    """Up to `most` windows of a text, in order, drawn from all of it by a seed of its own."""
+    n = -(-len(text) // width)
+    if n <= most:
+        return text
+    pick = np.sort(np.random.default_rng(zlib.crc32(text)).choice(n - 1, most, replace=False))  # but the last, which may be shorter
+    return b"".join(text[k * width : (k + 1) * width] for k in pick.tolist())
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """From rows of docs with a language that are not held out: an excerpt of EXCERPT characters of each sampled document, at a place set by its key."""
+    """From rows of docs with a language that are not held out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     one = rows.groupBy(key).agg(F.min(lang).alias("y"))
-    chosen = labelled_sample(rows, one, key, text, "y", sample)
-    begin = F.pmod(F.xxhash64("key", F.lit(5)), F.greatest(F.lit(1), F.length("text") - EXCERPT)).cast("int") + 1
-    data = chosen.select("key", F.col("text").substr(begin, F.lit(EXCERPT)).alias("text"), F.col("label")).orderBy("key").collect()
+    rates = sampling_rates(one, key, "y", sample, MOST_LABELS)
+    chosen = labelled_sample(rows, one, key, text, "y", sample, rates)
+    each = max(1, min(DRAWN, MOST // max(1, chosen.count())))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in chunks(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([drawn(t.encode(), each) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["key", "windows", "label"])
+
+    kind = chosen.schema["key"].dataType.simpleString()
+    data = chosen.select("key", "text", F.col("label").cast("string")).mapInArrow(draw, f"key {kind}, windows binary, label string").orderBy("key").collect()
     discard(chosen)
-    if not data:
-        return None
-    return train([r["text"].encode() for r in data], [r["label"] for r in data])
+    return train([bytes(r["windows"]) for r in data], [r["label"] for r in data]) if data else None
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the columns name and score."""
+    fresh_names(docs, name, score)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers for each language

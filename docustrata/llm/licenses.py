@@ -1,28 +1,46 @@
 """License scans by canonical digest.
 
-A whole text is made canonical: lower case, lines that state a copyright and
-nothing else dropped, list marks and punctuation to spaces, spellings that
-license matching treats alike replaced, white space joined. The SHA-256 of what
-is left names the text; a hash join with the digests of known license texts
-names the license. The table of known digests has one row for each known text,
-a few hundred at most, and is broadcast.
-
-Null and empty texts, and texts whose canonical form is empty, have no license.
-Repeated rows give repeated results; empty tables empty ones.
+A whole text is made canonical, and the SHA-256 of what is left names it; a hash
+join with the digests of known license texts names the license.
+
+1. Lower case. Lines are what stands between line feeds and carriage returns; what
+   opens a line before a letter, digit, ( or the copyright sign doesn't count.
+2. Lines that state a copyright and nothing else go: those that begin with
+   `copyright`, unless a word of the license's own prose follows (NOT_STATED), or
+   with (c) or the sign before a year or `copyright`, and lines that say all rights
+   reserved. List marks (1. 2) (a)) that open other lines go.
+3. Words, runs of letters, digits and characters beyond ASCII, are mapped to one of
+   their equivalent spellings, each by its own lookup, then pairs of words; they
+   are joined by single spaces. Punctuation and white space are gone by then.
+
+Known texts are the files of a folder (`known` by default, those beside this
+module), named by license; each counts with and without its usual titles. Up to
+TOLD digests are broadcast; more meet the documents' digests by a shuffled join.
+
+Null and empty texts, and texts whose canonical form is empty, have no digest and
+no license. Repeated rows give repeated results; empty tables empty ones. Columns
+of the table that are named as the results are refused with an error.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words that license matching treats as equal.
-EQUIVALENT = (
+from docustrata.llm.common import fresh_names, let
+
+KNOWN = Path(__file__).with_name("known")
+#: Known digests that are broadcast (some 10 MB).
+TOLD = 100_000
+
+# Words that license matching treats as equal, and pairs of words.
+WORDS = (
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sublicence", "sublicense"),
-    ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
     ("analyse", "analyze"),
@@ -35,7 +53,6 @@ EQUIVALENT = (
     ("catalogue", "catalog"),
     ("categorise", "categorize"),
     ("centre", "center"),
-    ("copyright owner", "copyright holder"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("favourite", "favorite"),
@@ -48,12 +65,10 @@ EQUIVALENT = (
     ("maximise", "maximize"),
     ("modelled", "modeled"),
     ("modelling", "modeling"),
-    ("non commercial", "noncommercial"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
     ("organise", "organize"),
-    ("per cent", "percent"),
     ("practise", "practice"),
     ("programme", "program"),
     ("realise", "realize"),
@@ -63,79 +78,67 @@ EQUIVALENT = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
+PAIRS = (
+    ("sub license", "sublicense"),
+    ("copyright owner", "copyright holder"),
+    ("non commercial", "noncommercial"),
+    ("per cent", "percent"),
+    ("copyright owners", "copyright holders"),
+)
 
-# Known license texts.
-KNOWN = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-
-3. This notice may not be removed or altered from any source distribution.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain.
+# Words after `copyright` that are not a statement of one; titles that stand above license texts.
+NOT_STATED = ("notice", "notices", "holder", "holders", "owner", "owners", "law", "laws", "license", "licenses", "statement", "statements", "interest", "interests", "and", "or", "in", "to", "on", "as", "is", "are", "that", "of")
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution",),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense",),
+}
 
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+#: What goes at the start of a line, in one pass: statements of a copyright to their end, then list marks.
+OPENING = r"(^|[\r\n])[^a-z0-9(©\r\n]*(?:copyright(?![a-z]|[ \t]+(?:" + "|".join(NOT_STATED) + r")(?![a-z]))[^\r\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4})[^\r\n]*|all rights reserved[. \t]*(?=[\r\n]|\z)|\(?(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+)"
+APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
-In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
 
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+def canonical(text: Column) -> Column:
+    """The canonical form; null if nothing is left."""
+    other = F.create_map(*(F.lit(x) for pair in WORDS for x in pair))
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OPENING, "\n"), APART, -1)
+    words = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.when(w.isin([a for a, _ in WORDS]), F.try_element_at(other, w)).otherwise(w))
 
-For more information, please refer to <https://unlicense.org/>""",
-}
+    def paired(form: Column) -> Column:
+        has, out = F.lit(False), form
+        for a, b in PAIRS:
+            has, out = has | F.contains(form, F.lit(a)), F.regexp_replace(out, f"(^| ){a}(?= |$)", f"$1{b}")
+        return F.when(has, out).otherwise(form)
 
-#: (pattern, replacement) in order, on the lower-cased text; every pattern means the same in Java and in RE2.
-STEPS = (
-    (r"[\r\n]+", "\n"),
-    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*", "\n"),
-    (r"(^|\n)[ \t]*all rights reserved[. \t]*", "\n"),
-    (r"(^|\n)[ \t]*(\(?[0-9]{1,2}[.)]|\(?[a-z]\)|[*-])[ \t]+", "\n"),
-    (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
-)
+    return F.nullif(let(F.array_join(words, " "), paired), F.lit(""))
 
 
-def canonical(text: Column) -> Column:
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to)
-    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+def known_texts(known: dict[str, str] | str | Path = KNOWN) -> list[tuple[str, str]]:
+    """(license, text): of a folder's *.txt files or a dictionary, with and without titles."""
+    texts = known if isinstance(known, dict) else {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(known).glob("*.txt"))}
+    return [(k, v) for k, v in texts.items()] + [(k, f"{t}\n\n{v}") for k, v in texts.items() for t in TITLES.get(k, ())]
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+def known_digests(spark: SparkSession, known: dict[str, str] | str | Path = KNOWN) -> DataFrame:
     """digest, license: one row for each canonical form; of licenses with the same form the smallest name."""
-    rows = spark.createDataFrame(list((known or KNOWN).items()), "license string, body string")
-    form = canonical(F.col("body"))
-    return rows.select("license", form.alias("form")).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(known_texts(known), "license string, body string")
+    return rows.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def find_licenses(docs: DataFrame, text: str = "text", known: dict[str, str] | None = None) -> DataFrame:
-    """docs with digest and license (null where the text isn't a known license)."""
-    form = canonical(F.col(text))
-    named = docs.withColumn("digest", F.when(form != "", F.sha2(form, 256)))
-    return named.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left")
+def find_licenses(docs: DataFrame, text: str = "text", known: dict[str, str] | str | Path = KNOWN, digest: str = "digest", license: str = "license") -> DataFrame:
+    """docs with the columns digest and license (null where the text isn't a known license)."""
+    fresh_names(docs, digest, license)
+    names = known_digests(docs.sparkSession, known).select(F.col("digest").alias(digest), F.col("license").alias(license))
+    named = docs.withColumn(digest, F.sha2(canonical(F.col(text)), 256))
+    if len(known_texts(known)) <= TOLD:
+        names = F.broadcast(names)
+    return named.join(names, digest, "left").select(*docs.columns, digest, license)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +147,25 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
+    """Line by line and word by word, with doubled spaces where pairs are replaced; the lists of equivalents are data, the steps are written anew."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = "lower(coalesce(body, ''))"
-    for pattern, to in STEPS:
-        form = f"regexp_replace({form}, {quote(pattern)}, {'chr(10)' if to == chr(10) else quote(to)}, 'g')"
-    form = f"' ' || trim({form}) || ' '"
-    for a, b in EQUIVALENT:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
-    form = f"trim({form})"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in KNOWN.items())
-    return f"""WITH known AS (SELECT sha256(form) AS digest, min(license) AS license FROM (SELECT license, {form} AS form FROM (VALUES {known}) AS k(license, body)) WHERE form <> '' GROUP BY 1),
-docs AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM (SELECT doc_id, {form} AS form FROM (SELECT doc_id, text AS body FROM documents)))
-SELECT d.doc_id, d.digest, k.license, k.license IS NOT NULL AS is_license FROM docs d LEFT JOIN known k ON d.digest = k.digest"""
+    prose = ", ".join(map(quote, NOT_STATED))
+    after = "regexp_extract(l, '^copyright[ \\t]+([a-z]+)', 1)"
+    line = f"""CASE WHEN regexp_matches(l, '^copyright([^a-z]|$)') AND {after} NOT IN ({prose}) THEN ''
+ WHEN regexp_matches(l, '^(\\(c\\)|©)[ \\t]*(copyright|[0-9][0-9][0-9][0-9])') THEN '' WHEN regexp_full_match(l, 'all rights reserved[. \\t]*') THEN ''
+ WHEN regexp_matches(l, '^[(]?([0-9][0-9]?[.)]|[a-z][)])[ \\t]') THEN regexp_replace(l, '^[(]?[0-9a-z]+[.)]', '') ELSE l END"""
+    word = "CASE w " + " ".join(f"WHEN {quote(a)} THEN {quote(b)}" for a, b in WORDS) + " ELSE w END"
+    pairs = "wide"
+    for a, b in PAIRS:
+        pairs = f"replace({pairs}, {quote(' ' + a.replace(' ', '  ') + ' ')}, {quote(' ' + b.replace(' ', '  ') + ' ')})"
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_texts())
+    # a space on either side of each word, so that no two matches share one
+    steps = f"""{{0}}_lines AS (SELECT id, list_transform(string_split_regex(lower(coalesce(body, '')), '[\\r\\n]'), x -> regexp_replace(x, '^[^a-z0-9(©]+', '')) AS ls FROM {{1}}),
+{{0}}_kept AS (SELECT id, array_to_string(list_transform(ls, l -> {line}), chr(10)) AS t FROM {{0}}_lines),
+{{0}}_words AS (SELECT id, list_transform(regexp_extract_all(t, '[a-z0-9\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+'), w -> {word}) AS ws FROM {{0}}_kept),
+{{0}}_wide AS (SELECT id, ' ' || array_to_string(ws, '  ') || ' ' AS wide FROM {{0}}_words WHERE len(ws) > 0),
+{{0}}_form AS (SELECT id, sha256(trim(replace({pairs}, '  ', ' '))) AS digest FROM {{0}}_wide)"""
+    return f"""WITH texts AS (SELECT row_number() OVER () AS id, license, body FROM (VALUES {known}) AS k(license, body)), {steps.format('k', 'texts')},
+known AS (SELECT digest, min(license) AS license FROM k_form JOIN texts ON texts.id = k_form.id GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS id, doc_id, text AS body FROM documents), {steps.format('d', 'docs')}
+SELECT docs.doc_id, f.digest, known.license, known.license IS NOT NULL AS is_license FROM docs LEFT JOIN d_form f ON f.id = docs.id LEFT JOIN known ON known.digest = f.digest"""

@@ -1,20 +1,23 @@
 """Mixing sources to target weights by blocks.
 
-The words of each source, its documents in ascending doc_id, form one stream
-that is cut into blocks of BLOCK words (the last may be shorter). Output shards
-have SHARD slots. A shard's source counts are a multinomial draw whose
-probabilities are the draws that each source still owes; what a draw takes
-beyond that is drawn again among the others, and the last shard takes the rest,
-so that every source ends at its target to within a block. The k-th slot of a
+The words of each source, its documents in ascending doc_id, form one stream that
+is cut into blocks of equal length: BLOCK words, fewer for a source that would
+have less than LEAST blocks (the last block may be shorter). Output shards
+have SHARD slots. A shard's source counts are a multinomial draw given what every
+source gets in all, so that each ends at its target to within half a block: the
+range of shards is halved again and again, and the counts of a half are drawn
+without replacement from those of the whole. Draws are keyed by their place in that
+tree, so any executor finds the counts of its own shards by a path from the root,
+and no shard's row passes the driver. The k-th slot of a
 source reads block permutation(k mod n) of its n blocks in epoch k div n; the
 permutation is a keyed Feistel network that walks cycles, so it needs no state
 and any executor can compute any slot. Slots meet blocks by an equi-join on
 (source, block).
 
-The driver holds a row for each source and a small row for each shard and
-source; everything a document has is distributed. Word offsets are prefix sums
-over range partitions, so that a source with a third of all documents is spread
-over partitions like any other.
+The driver holds a row for each source, MOST_SOURCES at most; a corpus with more
+fails with an error. Everything a document or a shard has is distributed. Word
+offsets are prefix sums over range partitions, so that a source with a third of all
+documents is spread over partitions like any other.
 
 Targets: a source's weight is 3, 1, 2, repeating, by code point order of its
 name, null last. The mix has SHARE of all words. A target above LIMIT times its
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 from docustrata.llm.common import checkpointed, free_name, let, ordered, word_count
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
-#: Words in a block, slots in an output shard, seed of draws and permutations.
-BLOCK, SHARD, SEED = 128, 8192, 42
+#: Words in a block, blocks of a source at least (of a word each at least), slots in an output shard, shards of a task's group, seed of draws and permutations.
+BLOCK, LEAST, SHARD, GROUP, SEED = 128, 64, 8192, 16, 42
+#: Below so many slots a draw without replacement is exact; above, binomial within what is possible.
+EXACT = 10**9
 #: Sources that the driver's plan may hold; a corpus with more fails with a clear error.
 MOST_SOURCES = 100_000
 
@@ -61,17 +66,37 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit:
     return out
 
 
-def shard_counts(quota: np.ndarray, shard: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, draws of each source): multinomial by what is still owed, which it never exceeds."""
-    rng, owed = np.random.default_rng(seed), quota.astype("int64").copy()
-    for k in range(-(-int(quota.sum()) // shard)):
-        got, want = np.zeros_like(owed), min(shard, int(owed.sum()))
-        while want:
-            room = owed - got
-            got += np.minimum(rng.multinomial(want, room / room.sum()), room)
-            want = min(shard, int(owed.sum())) - int(got.sum())
-        owed -= got
-        yield k, got
+def half(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n of all slots, drawn without replacement: how many of each source."""
+    if (total := int(counts.sum())) < EXACT:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out, want, rest = np.zeros_like(counts), n, total
+    for i in np.argsort(-counts, kind="stable").tolist():
+        rest -= int(counts[i])
+        got = int(rng.binomial(int(counts[i]), want / max(1, rest + int(counts[i]))))
+        out[i] = min(max(got, want - rest, 0), int(counts[i]), want)
+        want -= int(out[i])
+    return out
+
+
+def shard_counts(quota: np.ndarray, shard: int, seed: int, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, its own slots of each) of the shards from begin to end."""
+    total, none = int(quota.sum()), np.zeros(len(quota), dtype="int64")
+    slots = lambda k: min(k * shard, total)
+
+    def walk(low: int, high: int, before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if high <= begin or low >= end:
+            return
+        if high - low == 1:
+            yield low, before, counts
+            return
+        mid = (low + high) // 2
+        left = half(counts, slots(mid) - slots(low), np.random.default_rng((seed, low, high)))
+        yield from walk(low, mid, before, left)
+        yield from walk(mid, high, before + left, counts - left)
+
+    if total:
+        yield from walk(0, -(-total // shard), none, quota.astype("int64"))
 
 
 def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -96,7 +121,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, carry: tuple[str, ...] = ()):
         """carry: further columns, narrow ones, that docs keeps."""
-        spark, self.block = docs.sparkSession, block
+        spark = docs.sparkSession
         sid, size = free_name(docs, "sid"), free_name(docs, "size")
         self.sid, self.size = sid, size
         sized = docs.withColumn(size, word_count(F.col(text)))
@@ -107,32 +132,32 @@ class Mix:
         sums.sort(key=lambda r: (r[0] is None, str(r[0]) if r[0] is not None else ""))
         total = [int(r["__total"] or 0) for r in sums]
         want = targets(total, [weights[i % len(weights)] for i in range(len(sums))], share, limit)
-        blocks = [-(-t // block) for t in total]
+        length = [max(1, min(block, t // LEAST)) for t in total]
+        blocks = [-(-t // n) for t, n in zip(total, length, strict=True)]
         quota = np.array([min(int(limit * n), round(w * n / t)) if t else 0 for w, n, t in zip(want, blocks, total, strict=True)], dtype="int64")
         kind = docs.schema[source].dataType.simpleString()
-        self.sources = spark.createDataFrame([(i, r[0], t, float(w), n) for i, (r, t, w, n) in enumerate(zip(sums, total, want, blocks, strict=True))], f"{sid} int, __source {kind}, source_size long, target double, __blocks long")
+        self.sources = spark.createDataFrame([(i, r[0], t, float(w), n) for i, (r, t, w, n) in enumerate(zip(sums, total, want, length, strict=True))], f"{sid} int, __source {kind}, source_size long, target double, __length long")
         named = F.broadcast(self.sources.select(sid, "__source"))
         placed = sized.join(named, sized[source].eqNullSafe(named["__source"])).drop("__source")
         self.docs = ordered(placed, [sid, key, *carry, size], size, sid)
-        plan, first = [], np.zeros(len(sums), dtype="int64")
-        for k, got in shard_counts(quota, shard, seed):
-            plan += [(k, int(i), int(first[i]), int(got[i]), blocks[i]) for i in np.flatnonzero(got)]
-            first += got
-        plan = spark.createDataFrame(plan, f"shard int, {sid} int, first long, n long, blocks long")
-        runs = plan.select("shard", sid, "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+        shards, each = -(-int(quota.sum()) // shard), np.array(blocks, dtype="int64")
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                k, n, s = pdf["k"].to_numpy("int64"), pdf["blocks"].to_numpy("int64"), pdf[sid].to_numpy("int64")
-                yield pd.DataFrame({"shard": pdf["shard"], sid: pdf[sid], "k": k, "epoch": (k // n).astype("int32"), "block": permuted(k % n, n, (s + 1) * 1_000_003 + seed)})
+                for group in pdf["id"].tolist():
+                    for number, before, counts in shard_counts(quota, shard, seed, group * GROUP, (group + 1) * GROUP):
+                        s = np.repeat(np.arange(len(counts)), counts)
+                        k = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts) + before[s]
+                        yield pd.DataFrame({"shard": np.int32(number), sid: s.astype("int32"), "k": k, "epoch": (k // each[s]).astype("int32"), "block": permuted(k % each[s], each[s], (s + 1) * 1_000_003 + seed)})
 
-        parts = max(1, min(len(sums) + int(quota.sum()) // 100_000, 10_000))
-        self.slots = runs.repartition(parts, "shard", sid).mapInPandas(place, f"shard int, {sid} int, k long, epoch int, block long")
+        groups = -(-shards // GROUP)
+        self.slots = spark.range(0, groups, 1, max(1, min(groups, 10_000))).mapInPandas(place, f"shard int, {sid} int, k long, epoch int, block long")
 
     def segments(self, *more: str) -> DataFrame:
         """Per document and block that it touches: the document's row, places in the document [from_word, to_word)."""
-        d, b = self.docs.where(F.col(self.size) > 0), F.lit(self.block)
-        spread = d.select("row", self.sid, "start", self.size, *more, F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col(self.size) - 1) / b))).alias("block"))
+        b = F.col("__length")
+        d = self.docs.where(F.col(self.size) > 0).join(F.broadcast(self.sources.select(self.sid, "__length")), self.sid)
+        spread = d.select("row", self.sid, "start", self.size, "__length", *more, F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col(self.size) - 1) / b))).alias("block"))
         return spread.select("row", self.sid, "block", *more, F.greatest(F.lit(0), F.col("block") * b - F.col("start")).alias("from_word"), F.least(F.col(self.size), (F.col("block") + 1) * b - F.col("start")).alias("to_word"))
 
     def mixed(self) -> DataFrame:

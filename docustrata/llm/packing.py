@@ -6,9 +6,10 @@ are sequences of their own. The others are packed best-fit, longest first, withi
 partition that encoded them. Bins that are nearly full (NEAR of CAPACITY), or
 that have no room for even the smallest bin still open, are emitted; the rest
 are items of the next round: each round deals them to fewer tasks, FAN to one,
-and packs them best-fit again, until one task has seen what is left. A task gets
-ITEMS items at most, whatever the input; if a round on several tasks merges
-nothing any more, rounds end there.
+and packs them best-fit again, until one task has seen what is left. A task packs
+ITEMS items at a time at most, whatever the input, so that its memory is bounded;
+more than that are never dealt to one task on average. Rounds deal anew each time,
+and end after IDLE rounds in a row that merged nothing.
 
 A bin is written as a row (item, bin, offset); bins of bins are resolved by
 joins, one for each round. Each round's rows are checkpointed: a bin keeps its
@@ -33,8 +34,8 @@ from docustrata.llm.common import checkpointed, written
 from docustrata.llm.tokens import CHUNK, END, chunks, crc, default_tokenizer, encoder, lists
 
 CAPACITY = 1024
-#: Share of CAPACITY at which a bin is emitted; tasks whose bins meet in one task of the next round; most items of a task.
-NEAR, FAN, ITEMS = 0.995, 8, 500_000
+#: Share of CAPACITY at which a bin is emitted; tasks whose bins meet in one task of the next round; items packed at a time; fruitless rounds.
+NEAR, FAN, ITEMS, IDLE = 0.995, 8, 500_000, 3
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,16 +96,29 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
 
 def packed(items: DataFrame, capacity: int, level: int) -> DataFrame:
-    """(item, bin, offset, fill, opens) of items (item, length): each partition best-fit on its own."""
+    """(item, bin, offset, fill, opens) of items (item, length): each partition best-fit on its own, ITEMS at a time."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = [b for b in batches if len(b)]
-        if not every:
-            return
-        pdf = pd.concat(every).sort_values("item", kind="stable")
-        bins, offsets, fill = best_fit(pdf["length"].to_numpy("int64"), capacity)
         base = (level << 56) | (TaskContext.get().partitionId() << 32)
-        yield pd.DataFrame({"item": pdf["item"], "bin": base + bins, "offset": offsets, "fill": fill[bins], "opens": offsets == 0})
+
+        def one(held: list[pd.DataFrame]) -> pd.DataFrame:
+            nonlocal base
+            pdf = pd.concat(held).sort_values("item", kind="stable")
+            bins, offsets, fill = best_fit(pdf["length"].to_numpy("int64"), capacity)
+            base += len(fill)
+            return pd.DataFrame({"item": pdf["item"], "bin": base - len(fill) + bins, "offset": offsets, "fill": fill[bins], "opens": offsets == 0})
+
+        held, n = [], 0
+        for b in batches:
+            for i in range(0, len(b), ITEMS):
+                part = b.iloc[i : i + ITEMS]
+                if n and n + len(part) > ITEMS:
+                    yield one(held)
+                    held, n = [], 0
+                held.append(part)
+                n += len(part)
+        if n:
+            yield one(held)
 
     return checkpointed(items.select("item", "length").mapInPandas(pack, "item long, bin long, offset long, fill long, opens boolean"))
 
@@ -114,18 +128,17 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     made = pieces(docs, key, text, capacity, tokenizer, end)
     part = made.where(F.col("length") < capacity).select("item", "length")
     rounds = [packed(part, capacity, 1)]
-    tasks = rounds[0].select(F.shiftright("bin", 32)).distinct().count()
-    while True:
+    tasks, idle = rounds[0].select(F.shiftright("bin", 32)).distinct().count(), 0
+    while idle < IDLE:
         open_ = rounds[-1].where(F.col("opens") & (F.col("fill") < F.lit(int(near * capacity))))
         left, least = open_.agg(F.count("*"), F.min("fill")).first()
         if left < 2 or tasks <= 1:
             break
         items = open_.where(F.col("fill") + F.lit(least) <= capacity).select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         tasks = max(1, -(-tasks // fan), -(-left // ITEMS))
-        rounds.append(packed(items.repartition(tasks, "item"), capacity, len(rounds) + 1))
+        rounds.append(packed(items.repartition(tasks, F.xxhash64("item", F.lit(len(rounds)))), capacity, len(rounds) + 1))
         merged = rounds[-1].agg(F.count("*"), F.count_if("opens")).first()
-        if merged[0] == merged[1]:
-            break
+        idle = idle + 1 if merged[0] == merged[1] else 0
     at = rounds[0].select("item", F.col("bin").alias("sequence_id"), "offset")
     for r in rounds[1:]:
         up = r.select(F.col("item").alias("sequence_id"), F.col("bin").alias("__up"), F.col("offset").alias("__by"))

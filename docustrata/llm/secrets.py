@@ -13,7 +13,10 @@ exclusive: the pieces between matches (split) and the matches themselves
 (regexp_extract_all) are walked together, which gives each match its place.
 
 Null texts count as empty. Empty tables give empty results. Repeated rows give
-repeated results; equal texts are scanned once. Other columns are left alone.
+repeated results; equal texts are scanned once. Columns of any name are left alone:
+scan() refuses a table that has a column named as the blob's.
+Findings meet the rows of a blob in several parts, so that a text with a great
+share of all rows is no single task's.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docustrata.llm.common import checkpointed, scratch_path
+from docustrata.llm.common import checkpointed, fresh_names, salted, scratch_path
 
 
 @dataclass(frozen=True)
@@ -91,10 +95,13 @@ class BlobLedger:
             now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
         return self.table().where(now)
 
-    def scan(self, versions: DataFrame, text: str = "text") -> DataFrame:
-        """Scans what is unseen of the versions. Returns them with a column blob."""
+    def scan(self, versions: DataFrame, text: str = "text", name: str = "blob") -> DataFrame:
+        """Scans what is unseen of the versions. Returns them with a column `name`, the blob's."""
+        fresh_names(versions, name)
         body = F.coalesce(F.col(text), F.lit(""))
-        named = versions.withColumn("blob", F.sha2(body, 256))
+        result = versions.withColumn(name, F.sha2(body, 256))
+        named = versions.select(F.col(text), F.sha2(body, 256).alias("__blob")).select(F.col("__blob").alias("blob"), F.col(text).alias("__body"))
+        body = F.coalesce("__body", F.lit(""))
         pairs = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in self.rules))
         blobs = named.select("blob").distinct()
         todo = blobs.select("blob", F.explode(pairs).alias("p")).select("blob", "p.kind", "p.version")
@@ -102,7 +109,7 @@ class BlobLedger:
         todo = checkpointed(todo.groupBy("blob").agg(F.collect_set("kind").alias("kinds")))
         unseen = todo.count()
         if not unseen:
-            return named
+            return result
         held = named
         if unseen <= self.FEW:  # a late commit on a large history: the few unseen names go to every task, and only their texts are shuffled
             held = named.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
@@ -121,7 +128,7 @@ class BlobLedger:
         )
         rows = found.select("blob", F.explode("found").alias("f")).where("f.spans is not null").select("blob", "f.kind", "f.version", "f.spans")
         rows.write.mode("append").parquet(self.path)
-        return named
+        return result
 
     def digest(self) -> DataFrame:
         """blob, counts n_<kind>, marks (array of order, kind and span) of blobs with findings."""
@@ -140,11 +147,12 @@ def joined(marks: Column) -> Column:
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger: BlobLedger | None = None) -> DataFrame:
     """Per row of docs: key, n_<kind>, marks, blob, over the present rule versions."""
     ledger = ledger or BlobLedger(docs.sparkSession)
-    paths = ledger.scan(docs.select(key, text), text).select(key, "blob")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    paths = ledger.scan(rows, "__text").select("__key", "blob")
     digest = checkpointed(ledger.digest())
     names = [f"n_{r.kind}" for r in ledger.rules]
-    out = paths.join(digest, "blob", "left")
-    return out.select(key, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names), F.coalesce("marks", F.array().cast(digest.schema["marks"].dataType)).alias("marks"), "blob")
+    out = salted(paths, digest, "blob", ["__key"])
+    return out.select(F.col("__key").alias(key), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names), F.coalesce("marks", F.array().cast(digest.schema["marks"].dataType)).alias("marks"), "blob")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger: BlobLedger | None = None) -> DataFrame:
@@ -153,6 +161,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger:
     Overlapping spans become one mark. Texts without a secret, and nulls, are kept as they are.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
+    names = list(docs.columns)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # their names can clash with no other here
+    text = docs.columns[names.index(text)]
     named = ledger.scan(docs, text)
     digest = checkpointed(ledger.digest().select("blob", "marks"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -163,8 +174,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger:
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("marks", begin, step, lambda acc: F.concat(acc["out"], F.col(text).substr((acc["at"] + 1).cast("int"), F.length(text))))
-    out = named.join(digest, "blob", "left").withColumn(text, F.when(F.col("marks").isNotNull(), clean).otherwise(F.col(text)))
-    return out.select(*docs.columns)
+    hashable = [f.name for f in docs.schema.fields if f.name != text and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    out = salted(named, digest, "blob", hashable or ["blob"]).withColumn(text, F.when(F.col("marks").isNotNull(), clean).otherwise(F.col(text)))
+    return out.select(*docs.columns).toDF(*names)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ of a few documents skip stripes and row groups by their metadata; a stripe is
 the unit of parallel reads.
 
 Null texts count as empty and have the end id alone. Rows with the same doc_id
-are ordered by text; repeated rows are all written. Null doc_ids come first.
+are ordered by a hash of their text, so that a doc_id with any number of rows is
+dealt to many partitions and no text is a range bound; repeated rows are all
+written. Null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -271,18 +273,12 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(range(line, line + len(ids)), pa.int64()), lists(ids)], names=[key, "part", "line", "ids"])
             line += len(ids)
 
-    rows = docs.select(key, text).repartitionByRange(key, text) if has_ties(docs, key) else docs.select(key, text).repartitionByRange(key)
-    rows = rows.sortWithinPartitions(key, text).mapInArrow(encode, f"`{key}` {kind}, part int, line long, ids array<int>")
+    by = (F.col(key), F.xxhash64(text))
+    rows = docs.select(key, text).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(encode, f"`{key}` {kind}, part int, line long, ids array<int>")
     options = {"orc.compress": "LZ4", "orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": FPP}
     rows.write.options(**{k: str(v) for k, v in options.items()}).orc(path)
 
 
-def has_ties(docs: DataFrame, key: str) -> bool:
-    """Whether a key repeats so often that its rows should be dealt to several partitions by their text too."""
-    most = docs.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) > 1000
-
-
 def read_tokens(spark: SparkSession, path: str, only: list | None = None, key: str = "doc_id") -> DataFrame:
     """The rows of the files; those of some keys are found through stripe statistics, row indexes and Bloom filters."""
     rows = spark.read.orc(path)

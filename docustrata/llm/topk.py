@@ -9,17 +9,22 @@ part. By the triangle inequality no row of an annulus is nearer to q' than
 max(0, low - d, d - high), d the distance of q' to the pivot.
 
 A query first searches the part that its own row lies in, which gives a score
-that it is sure to reach. Then blocks of QUERIES queries meet the parts. Within
-a part a block of queries expands its annuli by ascending bound, and stops at
-the first whose bound is beyond what every query of the block still needs.
+that it is sure to reach, and so a radius. Queries are put in blocks of QUERIES by
+their place in the index. Of a block and a pivot the annuli that any of its radii
+reaches are one range of distances; ranges meet the table of annulus bounds, a row
+for each annulus, by pivot and bucket of distance, and only the rows of annuli in
+reach go to the block. Within a part a block expands its annuli by ascending bound,
+and stops at the first whose bound is beyond what every query of it still needs.
 Scores are integer sums in float64, exact below 2^53, and bounds are widened by
 more than their rounding error; results are exact whatever the pivots. Pivots
 are a bounded sample (PIVOTS rows); every row is indexed.
 
 The driver holds the pivots and counts only. Parts and query blocks have a fixed
-size, so that memory is bounded; their number grows with the data. A query set
-against all rows is quadratic where bounds prune nothing: vectors without
-clusters in many dimensions, as embeddings of random text, are such a case.
+size, so that memory is bounded; their number grows with the data. What is shuffled
+follows the number of (block, annulus) pairs in reach, which search() leaves in
+`examined`, of `possible`. A query set against all rows is quadratic where bounds
+prune nothing: vectors without clusters in many dimensions, as embeddings of random
+text, are such a case, and a row then goes to each block.
 
 Vectors that are null, or hold a null, NaN or infinite component, take no part,
 as do vectors that are empty or shorter or longer than most (the length that
@@ -39,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docustrata.llm.common import checkpointed, ordered, written
+from docustrata.llm.common import counted, ordered, written
 
-#: Pivots; rows of an annulus; annuli of a part; queries of a block.
-PIVOTS, ANNULUS, ANNULI, QUERIES = 64, 256, 32, 512
+#: Pivots; rows of an annulus; annuli of a part; queries of a block; buckets of distance.
+PIVOTS, ANNULUS, ANNULI, QUERIES, BUCKETS = 64, 256, 8, 2048, 256
 
 
 def quantized(vector: Column) -> Column:
@@ -100,14 +105,41 @@ class PivotIndex:
         # start is the row's place within its pivot; an annulus never spans pivots, a part may
         placed = placed.select("id", "v", "pivot", "dist", F.floor(F.col("start") / annulus).cast("long").alias("ring"), F.floor(F.col("row") / (annulus * annuli)).cast("long").alias("part"))
         self.rows = written(placed, "annuli")
-        self.parts = int(self.rows.agg(F.max("part")).first()[0]) + 1
+        self.examined = self.possible = 0
+
+    def bucket(self, dist: Column) -> Column:
+        """0 to BUCKETS - 1; no two rows are farther from each other than the diameter of the ball of norm sqrt(top)."""
+        width = 2 * float(np.sqrt(self.top)) / BUCKETS or 1.0
+        return F.least(F.greatest(F.floor(dist / width), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+
+    def in_reach(self, queries: DataFrame) -> DataFrame:
+        """block, part, pivot, ring: the annuli that a query of the block may need. queries: block, v, sure."""
+        top, p, dim = self.top, self.pivots, self.dim
+
+        def ranges(t: pa.Table) -> pa.Table:
+            q, sure = matrix(t.column("v").combine_chunks(), dim), t.column("sure").to_numpy()
+            with np.errstate(over="ignore", invalid="ignore"):
+                radius = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * sure, 0)) + 1e-6 * (1 + np.sqrt(top))
+            d = distances(q, np.zeros(len(q)), p)
+            return pa.table({"block": [t.column("block")[0].as_py()] * len(p), "pivot": pa.array(range(len(p)), pa.int32()), "low": (d - radius[:, None]).min(0), "high": (d + radius[:, None]).max(0)})
+
+        span = lambda low, high: F.explode(F.sequence(self.bucket(F.col(low)), self.bucket(F.col(high)))).alias("at")
+        wanted = queries.select("block", "v", "sure").groupBy("block").applyInArrow(ranges, "block long, pivot int, low double, high double")
+        wanted = wanted.select("block", "pivot", F.col("low").alias("from"), F.col("high").alias("to"), span("low", "high"))
+        bounds = self.rows.groupBy("part", "pivot", "ring").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
+        bounds, rings = counted(bounds)
+        meet = wanted.join(bounds.select("*", span("low", "high")), ["pivot", "at"])
+        once = F.col("at") == F.greatest(self.bucket(F.col("from")), self.bucket(F.col("low")))  # of the buckets that both touch
+        found, self.examined = counted(meet.where((F.col("high") >= F.col("from")) & (F.col("low") <= F.col("to")) & once).select("block", "part", "pivot", "ring"))
+        self.possible = rings * queries.select("block").distinct().count()
+        return found
 
     def search(self, is_query: Column, k: int, block: int = QUERIES) -> DataFrame:
         """query_id, rank, id, score of the k best of every row whose id fulfils is_query."""
         schema = "query_id long, q long, id long, score long"
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, id long, score long")
-        dim, top, p = self.dim, self.top, self.pivots
+        top, p = self.top, self.pivots
         asked = self.rows.withColumn("asks", is_query).withColumn("q", F.xxhash64("v"))
 
         def rings(pdf: pd.DataFrame) -> list[tuple[float, float, int, np.ndarray, np.ndarray]]:
@@ -127,28 +159,27 @@ class PivotIndex:
                     break
                 who = np.flatnonzero(reach[:, r] >= need)
                 s = q[who] @ parts[r][4].T
-                for row, i in enumerate(who):
-                    other = (parts[r][3] != qid[i]) & (s[row] >= need[i])
-                    if other.any():
-                        a, b = best(np.concatenate([score[i], s[row][other]]), np.concatenate([ids[i], parts[r][3][other]]), k)
-                        score[i, : len(a)], ids[i, : len(b)] = a, b
+                ok = (parts[r][3][None, :] != qid[who][:, None]) & (s >= need[who][:, None])
+                for row in np.flatnonzero(ok.any(1)):
+                    i, other = who[row], ok[row]
+                    a, b = best(np.concatenate([score[i], s[row][other]]), np.concatenate([ids[i], parts[r][3][other]]), k)
+                    score[i, : len(a)], ids[i, : len(b)] = a, b
             i, j = np.nonzero(score > -np.inf)
             return i, ids[i, j], score[i, j].astype("int64")
 
         def own(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf[pdf["asks"].fillna(False).astype(bool)]
             if not len(asks):
-                return pd.DataFrame({"query_id": [], "q": [], "v": np.empty(0, dtype=object), "sure": []})
+                return pd.DataFrame({"query_id": [], "q": [], "v": np.empty(0, dtype=object), "pivot": [], "dist": [], "sure": []})
             i, _, score = expand(asks["id"].to_numpy("int64"), np.stack(asks["v"].to_numpy()), np.full(len(asks), -np.inf), rings(pdf))
             sure = [float(np.sort(score[i == n])[-k]) if (i == n).sum() >= k else -np.inf for n in range(len(asks))]
-            return pd.DataFrame({"query_id": asks["id"], "q": asks["q"], "v": asks["v"], "sure": sure}).drop_duplicates(["query_id", "q"])
+            return pd.DataFrame({"query_id": asks["id"], "q": asks["q"], "v": asks["v"], "pivot": asks["pivot"], "dist": asks["dist"], "sure": sure}).drop_duplicates(["query_id", "q"])
 
-        queries = asked.groupBy("part").applyInPandas(own, "query_id long, q long, v array<double>, sure double")
-        queries = queries.groupBy("query_id", "q").agg(F.first("v").alias("v"), F.max("sure").alias("sure"))
-        queries = ordered(written(queries.withColumn("one", F.lit(1).cast("long")), "queries"), ["query_id", "q"], "one")
+        queries = asked.groupBy("part").applyInPandas(own, "query_id long, q long, v array<double>, pivot int, dist double, sure double")
+        queries = queries.groupBy("query_id", "q").agg(*(F.first(c).alias(c) for c in ("v", "pivot", "dist")), F.max("sure").alias("sure"))
+        queries = ordered(written(queries.withColumn("one", F.lit(1).cast("long")), "queries"), ["pivot", "dist", "query_id", "q"], "one")
         queries = written(queries.select("query_id", "q", "v", "sure", F.floor(F.col("row") / block).alias("block")), "blocks")
-        blocks = int(queries.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]) + 1
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+        pairs = self.in_reach(queries)
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -156,10 +187,8 @@ class PivotIndex:
             i, ids, score = expand(left["query_id"].to_numpy("int64"), np.stack(left["v"].to_numpy()), left["sure"].to_numpy(float), rings(right))
             return pd.DataFrame({"query_id": left["query_id"].to_numpy()[i], "q": left["q"].to_numpy()[i], "id": ids, "score": score})
 
-        if not blocks:
-            return self.spark.createDataFrame([], "query_id long, rank int, id long, score long")
-        left = queries.withColumn("part", every(self.parts)).groupBy("part", "block")
-        right = self.rows.withColumn("block", every(blocks)).groupBy("part", "block")
+        left = queries.join(pairs.select("block", "part").distinct(), "block").groupBy("part", "block")
+        right = self.rows.join(pairs, ["part", "pivot", "ring"]).groupBy("part", "block")
         found = left.cogroup(right).applyInPandas(meet, schema)
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

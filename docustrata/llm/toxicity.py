@@ -9,9 +9,11 @@ score is the logistic of
 over the terms it has, so that pairs of terms, as an insult with the mention of
 a group, weigh more or less than their sum.
 
-The machine is fitted by Adam in numpy on SAMPLE rows of each label at most. Of
-the terms of the sample, counted over executors, the TERMS with the largest
-chi-square against the label become features, if LEAST texts have them. Fitting
+The machine is fitted by Adam in numpy on SAMPLE rows of each label at most. Terms
+of the sample that LEAST texts have are counted over executors. Half of the TERMS
+features are those of the largest chi-square against the label. The other half are
+those of the largest chi-square among the texts that have one of the PARTNERS
+strongest of them: terms that say little alone but much beside another one. Fitting
 takes labels from rows that are not held out only; scores use the text alone.
 Labels are thinned at different rates; the log of their ratio is taken from the
 bias after fitting, so that scores are at the rate of label 1 in the whole table.
@@ -21,7 +23,8 @@ within a batch, looked up once, and only features go on to the sums.
 
 Null and empty texts have no terms and score the bias. Without labels of both
 kinds the score is the share of label 1 (0 without any). Where a key has several
-labels the larger holds. Extra columns and repeated rows are kept as they are.
+labels the larger holds. Extra columns and repeated rows are kept as they are; a
+column named as the score is refused with an error.
 """
 
 from __future__ import annotations
@@ -32,18 +35,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docustrata.llm.common import discard, free_name, held_out
+from docustrata.llm.common import checkpointed, discard, free_name, fresh_names, held_out
 from docustrata.llm.sampling import labelled_sample, sampling_rates
 from docustrata.llm.tokens import chunks, release
 
-BUCKETS, TERMS, LEAST, RANK, SAMPLE = 1 << 20, 1024, 3, 8, 5000
+BUCKETS, TERMS, PARTNERS, LEAST, RANK, SAMPLE = 1 << 20, 1024, 16, 3, 8, 5000
 #: Score from which a document is rejected; words a worker remembers.
 THRESHOLD, REMEMBERED = 0.3, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,36 +108,61 @@ class Finder:
         return both[:, 0], both[:, 1]
 
 
-def count_terms(sample: DataFrame) -> DataFrame:
-    """term, n1, n0: texts of label 1 and 0 that have it."""
+def count_terms(sample: DataFrame, partners: list[int] | None = None) -> DataFrame:
+    """partner, term, n1, n0: texts of label 1 and 0 that have both; without partners (then -1) all that have the term."""
+    wanted = set(partners or ())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in chunks(batches, 0):
-            by = [{}, {}]
+            by, known = [{}, {}], {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for t in {t for w in set(text.split()) for t in terms(w)}:
-                    by[label][t] = by[label].get(t, 0) + 1
-            keys = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([by[y].get(k, 0) for k in keys], pa.int64()) for y in (1, 0))], names=["term", "n1", "n0"])
-
-    counted = sample.select("text", F.col("label").cast("int")).mapInArrow(count, "term long, n1 long, n0 long")
-    return counted.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+                words = set(text.split())
+                for w in words - known.keys():
+                    known[w] = terms(w)
+                has, seen = {t for w in words for t in known[w]}, by[label]
+                for k in [-1] if partners is None else has & wanted:
+                    at = k * BUCKETS
+                    for t in has:
+                        seen[at + t] = seen.get(at + t, 0) + 1
+            keys = np.array(list(by[0].keys() | by[1].keys()), dtype="int64")
+            partner, term = np.divmod(keys, BUCKETS)
+            yield pa.RecordBatch.from_arrays([pa.array(partner), pa.array(term), *(pa.array([by[y].get(k, 0) for k in keys.tolist()], pa.int64()) for y in (1, 0))], names=["partner", "term", "n1", "n0"])
+
+    counted = sample.select("text", F.col("label").cast("int")).mapInArrow(count, "partner long, term long, n1 long, n0 long")
+    return counted.groupBy("partner", "term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= LEAST)
+
+
+def chi_square(a: Column, b: Column, n1: Column, n0: Column) -> Column:
+    """Of having a term against the label: a and b of n1 and n0 texts have it."""
+    return F.when((n1 > 0) & (n0 > 0), F.pow(a * n0 - b * n1, F.lit(2)) * (n1 + n0) / (n1 * n0 * (a + b) * (n1 + n0 - a - b + 1))).otherwise(0.0)
+
+
+def chosen_terms(rows: DataFrame, n1: int, n0: int, features: int) -> list[int]:
+    """The terms that become features: the strongest alone, then the strongest beside one of those."""
+    a, b, d = F.col("n1").cast("double"), F.col("n0").cast("double"), lambda x: F.lit(float(x))
+    alone = count_terms(rows).withColumn("chi", chi_square(a, b, d(n1), d(n0))).orderBy(F.desc("chi"), "term").limit(features - features // 2).collect()
+    first = [r["term"] for r in alone]
+    if not features // 2 or not first:
+        return first
+    partners = first[:PARTNERS]
+    both = checkpointed(count_terms(rows, partners))
+    size = both.where("partner = term").select("partner", F.col("n1").cast("double").alias("m1"), F.col("n0").cast("double").alias("m0"))  # PARTNERS rows
+    beside = both.where("partner <> term").join(F.broadcast(size), "partner").where(~F.col("term").isin(first))
+    beside = beside.groupBy("term").agg(F.max(chi_square(a, b, F.col("m1"), F.col("m0"))).alias("chi")).orderBy(F.desc("chi"), "term").limit(features // 2).collect()
+    return first + [r["term"] for r in beside]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, features: int = TERMS, rank: int = RANK, seed: int = 1) -> Machine:
     """labels: rows (key, label 0 or 1) to learn from; the caller leaves out what is held out."""
     one = labels.groupBy(key).agg(F.max(label).cast("int").alias("y")).where("y in (0, 1)")
     rates = sampling_rates(one, key, "y", sample, 2)
-    rows = labelled_sample(docs, one, key, text, "y", sample, 2, rates)
+    rows = labelled_sample(docs, one, key, text, "y", sample, rates)
     n1, n0 = (int(x or 0) for x in rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first())
     none = np.empty(0, dtype="int64")
     if not n1 or not n0:
         return Machine(30.0 if n1 else -30.0, none, np.empty(0), np.empty((0, rank)))
-    n, a, b = float(n1 + n0), F.col("n1"), F.col("n0")
-    chi = F.pow(a * F.lit(float(n0)) - b * F.lit(float(n1)), F.lit(2)) * F.lit(n) / (F.lit(float(n1) * n0) * (a + b) * (F.lit(n) - a - b + 1))
-    top = count_terms(rows).where(a + b >= LEAST).withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(features).collect()
-    buckets = np.array([r["term"] for r in top], dtype="int64")
+    buckets = np.array(chosen_terms(rows, n1, n0, features), dtype="int64")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -180,6 +207,7 @@ def train(m: Machine, doc: np.ndarray, term: np.ndarray, y: np.ndarray, steps: i
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a column name (0 to 1)."""
+    fresh_names(docs, name)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS * (RANK + 2) numbers
