@@ -1,6 +1,8 @@
 """Parsers: tokens to fields, for cards and passports.
 
 Every configured field gives a row for every document, with or without tokens.
+Tokens are dealt by document once; what follows groups and joins by document and
+moves none of them again.
 """
 
 from __future__ import annotations
@@ -31,23 +33,25 @@ def provenance(tokens: Column) -> dict[str, Column]:
     }
 
 
-def chosen(tokens: DataFrame, config: DataFrame, anchor_first: bool) -> DataFrame:
-    """doc_id, doc_type, the configuration's columns and the tokens of each field.
+def candidates(tokens: DataFrame, config: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, doc_type, field, region, anchor: the tokens in a field's region and beside its anchor, for every configured
+    field and every other one that has an anchor in found. A document has tens of tokens."""
+    keep = F.struct("idx", "text", "confidence", *spatial.PX, *spatial.NORM)
+    hit = lambda df, how: df.select("doc_id", "doc_type", "field", F.lit(how).alias("how"), keep.alias("token"))
+    at = hit(spatial.in_regions(tokens, config), "region").unionByName(hit(spatial.around_anchors(tokens, found), "anchor"))
+    docs = tokens.groupBy("doc_id", "doc_type").agg(F.lit("none").alias("how"))
+    every = docs.join(F.broadcast(config.select("doc_type", "field")), "doc_type").select("doc_id", "doc_type", "field", "how", F.lit(None).cast(at.schema["token"].dataType).alias("token"))
+    of = lambda how: F.collect_list(F.when(F.col("how") == how, F.col("token"))).alias(how)
+    return at.unionByName(every).groupBy("doc_id", "doc_type", "field").agg(of("region"), of("anchor"))
 
-    Cards take the region, and the anchor where the region is empty or the strategy says so; passports the anchor, then the region.
-    """
-    docs = tokens.groupBy("doc_id", "doc_type").agg(F.lit(1).alias("__one"))
-    fields = docs.join(F.broadcast(config), "doc_type").drop("__one")
-    found = spatial.anchors(tokens, config)
-    region = spatial.gathered(spatial.in_regions(tokens, config)).withColumnRenamed("tokens", "__region")
-    anchor = spatial.gathered(spatial.around_anchors(tokens, found)).withColumnRenamed("tokens", "__anchor")
-    both = fields.join(region, ["doc_id", "field"], "left").join(anchor, ["doc_id", "field"], "left")
-    none = F.slice(F.coalesce("__region", "__anchor"), 1, 0)
-    pick = F.coalesce("__anchor", "__region") if anchor_first else F.when(F.col("strategy") == "anchor", F.coalesce("__anchor", "__region")).otherwise(F.coalesce("__region", "__anchor"))
-    return both.withColumn("tokens", F.coalesce(pick, none)).drop("__region", "__anchor")
+
+def first_of(one: str, two: str) -> Column:
+    """The first list, or the second one where that is empty."""
+    return F.when(F.size(one) > 0, F.col(one)).otherwise(F.col(two))
 
 
 def fields_of(picked: DataFrame, family: str, clean: bool, strict: bool = False) -> DataFrame:
+    """picked: doc_id, doc_type, the configuration's columns and the tokens of each field, in reading order."""
     raw = F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
     out = picked.withColumn("raw_value", F.coalesce(raw, F.lit("")))
     value = text.normalized(text.without_noise(F.col("raw_value")) if clean else F.col("raw_value"), F.col("normalization"))
@@ -57,8 +61,11 @@ def fields_of(picked: DataFrame, family: str, clean: bool, strict: bool = False)
 
 
 def parse_cards(tokens: DataFrame, config: DataFrame) -> DataFrame:
-    """A row for each document and configured field."""
-    return fields_of(chosen(tokens, config, anchor_first=False), "card", clean=False)
+    """A row for each document and configured field: tokens of its region, and of its anchor where the region is empty or the strategy says so."""
+    tokens = tokens.repartition("doc_id")
+    got = candidates(tokens, config, spatial.anchors(tokens, config)).join(F.broadcast(config), ["doc_type", "field"])
+    pick = F.when(F.col("strategy") == "anchor", first_of("anchor", "region")).otherwise(first_of("region", "anchor"))
+    return fields_of(got.withColumn("tokens", spatial.reading_order(pick)).drop("region", "anchor"), "card", clean=False)
 
 
 def bilingual(fields: DataFrame) -> DataFrame:
@@ -85,36 +92,68 @@ def zone_candidates(tokens: DataFrame) -> DataFrame:
     return z.groupBy("doc_id").agg(F.min_by(F.when(one, t), F.when(one, F.col("idx"))).alias("line1"), F.min_by(F.when(two, t), F.when(two, F.col("idx"))).alias("line2"))
 
 
+def dated(c: Column) -> Column:
+    """The date of a token as DD.MM.YYYY, or null. A text without a digit has none."""
+    found = text.let(text.date_text(c), lambda d: F.when(d.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), d))
+    return F.when(c.rlike(r"\d"), found)
+
+
+def ranked(dates: Column) -> Column:
+    """Distinct dates of an array of structs (i, d) by year alone, equal years in token order."""
+    at = F.array_sort(dates)
+    once = F.filter(at, lambda x, i: ~F.exists(F.slice(at, F.lit(1), i), lambda y: y["d"] == x["d"]))
+    return F.transform(F.array_sort(F.transform(once, lambda x: F.struct(F.substring(x["d"], 7, 4).cast("int").alias("y"), x["i"].alias("i"), x["d"].alias("d")))), lambda x: x["d"])
+
+
 def date_ranks(tokens: DataFrame) -> DataFrame:
     """doc_id, n, first, second, last: a document's distinct dates by year alone, equal years in token order."""
-    d = tokens.select("doc_id", "idx", text.date_text(F.col("text")).alias("d")).where(F.col("d").rlike(r"^\d{2}\.\d{2}\.\d{4}$"))
-    d = d.groupBy("doc_id", "d").agg(F.min("idx").alias("i"))
-    order = F.array_sort(F.collect_list(F.struct(F.substring("d", 7, 4).cast("int").alias("y"), "i", "d")))
-    return d.groupBy("doc_id").agg(order.alias("o")).select("doc_id", F.size("o").alias("n"), F.get("o", F.lit(0))["d"].alias("first"), F.get("o", F.lit(1))["d"].alias("second"), F.element_at("o", -1)["d"].alias("last"))
+    d = tokens.select("doc_id", "idx", dated(F.col("text")).alias("d")).where("d is not null")
+    d = d.groupBy("doc_id").agg(ranked(F.collect_list(F.struct(F.col("idx").alias("i"), "d"))).alias("o"))
+    return d.select("doc_id", F.size("o").alias("n"), F.get("o", F.lit(0)).alias("first"), F.get("o", F.lit(1)).alias("second"), F.element_at("o", -1).alias("last"))
+
+
+# Labels of the father's name, the first that is there counts.
+FATHERS = ("Father Name", "Father", "Husband")
 
 
-def father_names(tokens: DataFrame) -> DataFrame:
-    """doc_id, father: what stands below (else right of) the first of the labels Father Name, Father, Husband that is there."""
-    spark = tokens.sparkSession
-    words = spark.createDataFrame([("passport", str(i), w) for i, w in enumerate(("Father Name", "Father", "Husband"))], "doc_type string, field string, keyword string")
-    found = spatial.anchors(tokens, words)
-    first = found.groupBy("doc_id", "doc_type").agg(F.min_by("anchor", "field").alias("anchor")).withColumn("field", F.lit("father"))
-    below = spatial.gathered(spatial.around_anchors(tokens, first, F.lit("below"))).select("doc_id", F.col("tokens").alias("b"))
-    right = spatial.gathered(spatial.around_anchors(tokens, first, F.lit("right"))).select("doc_id", F.col("tokens").alias("r"))
-    both = first.select("doc_id").join(below, "doc_id", "left").join(right, "doc_id", "left").withColumn("t", F.coalesce("b", "r"))
-    raw = F.array_join(F.transform("t", lambda t: t["text"]), " ")
-    return both.where("t is not null").select("doc_id", text.father_name(text.without_noise(raw)).alias("father"))
+def with_father(found: DataFrame) -> DataFrame:
+    """found, with the first of the FATHERS that a document has as an anchor of the fields `below` and `right` in these directions."""
+    kind = found.schema["anchor"].dataType
+    every = found.groupBy("doc_id", "doc_type").agg(F.collect_list(F.struct("field", "anchor")).alias("a"))
+    label = lambda x: x["field"].startswith("father:")
+    first = F.get(F.array_sort(F.filter("a", label)), F.lit(0))
+    both = F.array(*(F.struct(F.lit(way).alias("field"), first["anchor"].withField("direction", F.lit(way)).alias("anchor")) for way in ("below", "right")))
+    rows = F.concat(F.filter("a", lambda x: ~label(x)), F.when(first.isNotNull(), both).otherwise(F.slice(both, 1, 0)))
+    return every.select("doc_id", "doc_type", F.explode(rows).alias("r")).select("doc_id", "doc_type", "r.field", F.col("r.anchor").cast(kind).alias("anchor"))
 
 
 def parse_passports(tokens: DataFrame, config: DataFrame, strict: bool = False) -> DataFrame:
     """A row for each document and configured field, after the passes in their order: anchors and regions, patterns in the
     whole text, dates by year, the father's name, and the machine-readable zone."""
-    fields = fields_of(chosen(tokens, config, anchor_first=True), "passport", clean=True, strict=strict)
-    whole = tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda t: t["text"]), " ").alias("raw_text"))
-    wide = fields.groupBy("doc_id").agg(*(F.max(F.when(F.col("field") == f, F.struct("value", "validated"))).alias(f) for f in PASSPORT_FIELDS))
-    wide = wide.join(whole, "doc_id").join(zones(tokens), "doc_id", "left").join(date_ranks(tokens), "doc_id", "left").join(father_names(tokens), "doc_id", "left")
-    one, two = mrz.line1(F.coalesce("line1", F.lit(""))), mrz.line2(F.coalesce("line2", F.lit("")))
-    wide = wide.withColumn("m1", one).withColumn("m2", two)
+    spark, tokens = tokens.sparkSession, tokens.repartition("doc_id")
+    words = spark.createDataFrame([("passport", f"father:{i}", w, "below") for i, w in enumerate(FATHERS)], "doc_type string, field string, keyword string, direction string")
+    found = with_father(spatial.anchors(tokens, config.select("doc_type", "field", "keyword", "direction").unionByName(words)))
+    got = candidates(tokens, config, found).join(F.broadcast(config), ["doc_type", "field"], "left")
+    picked = got.withColumn("tokens", spatial.reading_order(first_of("anchor", "region"))).drop("region", "anchor")
+    rows = fields_of(picked, "passport", clean=True, strict=strict)
+    # a document's fields in one row, where the passes change them
+    raw = F.col("raw_value")
+    beside = lambda way: F.max(F.when(F.col("field") == way, raw)).alias(way)
+    kept = [c for c in rows.columns if c != "doc_id"]
+    wide = rows.groupBy("doc_id").agg(F.collect_list(F.when(F.col("field").isin(*PASSPORT_FIELDS), F.struct(*kept))).alias("fields"), beside("below"), beside("right"))
+    one = lambda f: F.get(F.filter("fields", lambda x: x["field"] == f), F.lit(0))
+    wide = wide.select("*", *(F.when(one(f).isNotNull(), F.struct(one(f)["value"].alias("value"), one(f)["validated"].alias("validated"))).alias(f) for f in PASSPORT_FIELDS))
+    t, idx, zone = F.col("text"), F.col("idx"), mrz.is_zone(F.col("text"))
+    first, second = zone & F.contains(t, F.lit("P<")), zone & ~F.contains(t, F.lit("P<")) & (F.length(t) > 15)
+    day = dated(t)
+    whole = tokens.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("raw_text"),
+        F.max_by(F.when(first, t), F.when(first, idx)).alias("line1"),
+        F.max_by(F.when(second, t), F.when(second, idx)).alias("line2"),
+        F.collect_list(text.let(day, lambda d: F.when(d.isNotNull(), F.struct(idx.alias("i"), d.alias("d"))))).alias("dates"),
+    )
+    wide = wide.join(whole, "doc_id").withColumn("dates", ranked(F.col("dates")))
+    wide = wide.withColumn("m1", mrz.line1(F.coalesce("line1", F.lit("")))).withColumn("m2", mrz.line2(F.coalesce("line2", F.lit(""))))
 
     def put(df: DataFrame, field: str, when: Column, value: Column) -> DataFrame:
         return df.withColumn(field, F.when(F.col(field).isNotNull() & when, F.struct(value.alias("value"), F.lit(True).alias("validated"))).otherwise(F.col(field)))
@@ -124,18 +163,22 @@ def parse_passports(tokens: DataFrame, config: DataFrame, strict: bool = False)
     wide = put(wide, "cnic_number", number != "", text.card_number(number))
     passport = F.regexp_extract("raw_text", r"\b[A-Z]{1,3}\d{6,8}\b", 0)
     wide = put(wide, "passport_number", (passport != "") & F.contains(F.lower("raw_text"), F.lit("passport")), passport)
-    for f, d in (("date_of_birth", "first"), ("date_of_issue", "second"), ("date_of_expiry", "last")):
-        wide = put(wide, f, (F.col("n") >= 3) & ~ok(f), F.col(d))
-    father = F.coalesce(F.col("father"), F.lit(""))
-    father = F.when(father != "", father).otherwise(F.coalesce(text.comma_name(F.col("raw_text"), val("surname"), val("given_names")), F.lit("")))
-    wide = put(wide.withColumn("__father", father), "father_name", F.col("__father") != "", F.col("__father"))
+    for f, d in (("date_of_birth", F.get("dates", F.lit(0))), ("date_of_issue", F.get("dates", F.lit(1))), ("date_of_expiry", F.try_element_at("dates", F.lit(-1)))):
+        wide = put(wide, f, (F.size("dates") >= 3) & ~ok(f), d)
+    father = F.coalesce(text.father_name(text.without_noise(F.coalesce("below", "right"))), F.lit(""))
+    wide = wide.withColumn("__father", father)
+    comma = F.coalesce(text.comma_name(F.col("raw_text"), val("surname"), val("given_names")), F.lit(""))
+    wide = wide.withColumn("__father", F.when(F.col("__father") != "", F.col("__father")).otherwise(comma))
+    wide = put(wide, "father_name", F.col("__father") != "", F.col("__father"))
     for f in ("surname", "given_names"):
         bad = (val(f) == "") | F.contains(val(f), F.lit("RAWALPINDI")) | F.contains(val(f), F.lit("NATIONALITY"))
         wide = put(wide, f, F.col(f"m1.{f}").isNotNull() & bad, F.col(f"m1.{f}"))
     for f in ("passport_number", "date_of_birth", "date_of_expiry", "cnic_number"):
         wide = put(wide, f, F.col(f"m2.{f}").isNotNull() & ((val(f) == "") | ~ok(f)), F.col(f"m2.{f}"))
-    last = wide.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}.value").alias("value"), F.col(f"{f}.validated").alias("validated")) for f in PASSPORT_FIELDS))).alias("e")).select("doc_id", "e.field", "e.value", "e.validated")
-    return fields.drop("value", "validated").join(last, ["doc_id", "field"])
+    last = wide.select("doc_id", F.explode("fields").alias("f"), F.create_map(*(x for f in PASSPORT_FIELDS for x in (F.lit(f), F.col(f)))).alias("last"))
+    final = F.try_element_at("last", F.col("f.field"))
+    moved = {"value": final["value"], "validated": final["validated"]}
+    return last.select("doc_id", *(moved.get(c, F.col(f"f.{c}")).alias(c) for c in kept if c not in moved), *(v.alias(k) for k, v in moved.items()))
 
 
 def display_names(fields: DataFrame) -> DataFrame:

@@ -35,18 +35,22 @@ def word_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\w]", "")
 
 
-def characters(c: Column) -> Column:
-    """The set of characters of a text."""
-    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+#: Word characters (ASCII), each with a bit of its own.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
 
+def characters(c: Column) -> Column:
+    """The set of word characters of a text, as bits of a long."""
+    bits = [F.when(F.contains(c, F.lit(x)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(LETTERS)]
+    while len(bits) > 1:
+        bits = [bits[i].bitwiseOR(bits[i + 1]) if i + 1 < len(bits) else bits[i] for i in range(0, len(bits), 2)]
+    return bits[0]
 
-def similar(x: Column, y: Column, xs: Column, ys: Column, least: float = 0.0) -> Column:
-    """Of two texts of word characters and their sets: 1 if one contains the other, 0 if one is empty, else the share of common characters in the larger set.
 
-    Where the sizes of the sets rule `least` out it may be 0."""
-    most = F.greatest(F.size(xs), F.size(ys), F.lit(1))
-    share = F.size(F.array_intersect(xs, ys)) / most
-    return F.when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0).when(F.least(F.size(xs), F.size(ys)) / most < least, 0.0).otherwise(share)
+def similar(x: Column, y: Column, xs: Column, ys: Column) -> Column:
+    """Of two texts of word characters and their sets: 1 if one contains the other, 0 if one is empty, else the share of common characters in the larger set."""
+    most = F.greatest(F.bit_count(xs), F.bit_count(ys), F.lit(1))
+    return F.when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0).otherwise(F.bit_count(xs.bitwiseAND(ys)) / most)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -61,11 +65,10 @@ def anchors(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     # what depends on one side alone is made before they meet
     words = words.select("*", F.lower(strip(F.col("keyword"))).alias("__k"), word_text(F.col("keyword")).alias("__kw")).withColumn("__ks", characters(F.col("__kw")))
     tokens = tokens.select("*", F.lower(strip(F.col("text"))).alias("__t"), word_text(F.col("text")).alias("__tw")).withColumn("__ts", characters(F.col("__tw")))
-    both = tokens.join(F.broadcast(words), F.col("doc_type") == F.col("__type")).drop("__type")
     exact = F.contains("__t", F.col("__k")) | F.contains("__k", F.col("__t"))
-    both = both.withColumn("__exact", exact).withColumn("__near", F.when(F.col("__exact"), 1.0).otherwise(similar(F.col("__tw"), F.col("__kw"), F.col("__ts"), F.col("__ks"), SIMILAR)))
-    fit = both.where(F.col("__exact") | (F.col("__near") >= SIMILAR))
-    rank = F.struct((~F.col("__exact")).alias("a"), F.when(F.col("__exact"), 0.0).otherwise(-F.col("__near")).alias("b"), F.col("idx").alias("c"))
+    near = similar(F.col("__tw"), F.col("__kw"), F.col("__ts"), F.col("__ks"))
+    fit = tokens.join(F.broadcast(words), (F.col("doc_type") == F.col("__type")) & (exact | (near >= SIMILAR))).withColumn("__exact", exact)
+    rank = F.struct((~F.col("__exact")).alias("a"), F.when(F.col("__exact"), 0.0).otherwise(-near).alias("b"), F.col("idx").alias("c"))
     keep = F.struct("idx", "text", *PX, "keyword", *([c for c in ("direction",) if c in keywords.columns]))
     return fit.groupBy("doc_id", "doc_type", "field").agg(F.min_by(keep, rank).alias("anchor"))
 
@@ -106,9 +109,3 @@ def reading_order(tokens: Column, line: float = 15.0) -> Column:
         return F.struct(F.when(new, x["y"]).otherwise(acc["first"]).alias("first"), n.alias("line"), F.array_append(acc["out"], row).alias("out"))
 
     return F.aggregate(at, start, step, lambda acc: F.transform(F.array_sort(acc["out"]), lambda r: r["t"]))
-
-
-def gathered(hits: DataFrame) -> DataFrame:
-    """Per document and field: its tokens in reading order. A document has tens of tokens."""
-    keep = F.struct("idx", "text", "confidence", *PX, *NORM)
-    return hits.groupBy("doc_id", "field").agg(reading_order(F.collect_list(keep)).alias("tokens"))
