@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docustrata.session import checkpoint_dir
+from docustrata.session import checkpoint_dir, drop_path, scratch_path
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -37,33 +35,6 @@ def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
     return rows, int(seen.get["n"])
 
 
-_written: dict[str, SparkSession] = {}
-
-
-def _sweep() -> None:
-    for path, spark in _written.items():
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone at exit; the cluster's own sweep then removes the folder
-            return
-
-
-atexit.register(_sweep)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/docustrata-{tag}-{uuid.uuid4().hex}"
-    _written[path] = spark
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a compressed Parquet table in the shared folder, without lineage. For wide rows."""
     path = scratch_path(df.sparkSession, tag)
@@ -76,7 +47,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Removes a table that written() made, when nothing will read it any more."""
     drop_path(table.sparkSession, table._scratch)
-    _written.pop(table._scratch, None)
 
 
 def free_name(df: DataFrame, base: str, *others: str) -> str:

@@ -6,7 +6,7 @@ join with the digests of known license texts names the license.
 1. Lower case. Lines are what stands between line feeds and carriage returns; what
    opens a line before a letter, digit, ( or the copyright sign doesn't count.
 2. Lines that state a copyright and nothing else go: those that begin with
-   `copyright`, unless a word of the license's own prose follows (NOT_STATED), or
+   `copyright`, unless nothing or a word of the license's own prose follows (NOT_STATED), or
    with (c) or the sign before a year or `copyright`, and lines that say all rights
    reserved. List marks (1. 2) (a)) that open other lines go.
 3. Words, runs of letters, digits and characters beyond ASCII, are mapped to one of
@@ -100,7 +100,7 @@ TITLES = {
 }
 
 #: What goes at the start of a line, in one pass: statements of a copyright to their end, then list marks.
-OPENING = r"(^|[\r\n])[^a-z0-9(©\r\n]*(?:copyright(?![a-z]|[ \t]+(?:" + "|".join(NOT_STATED) + r")(?![a-z]))[^\r\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4})[^\r\n]*|all rights reserved[. \t]*(?=[\r\n]|\z)|\(?(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+)"
+OPENING = r"(^|[\r\n])[^a-z0-9(©\r\n]*(?:copyright(?![a-z]|[ \t]*(?:[\r\n]|\z)|[ \t]+(?:" + "|".join(NOT_STATED) + r")(?![a-z]))[^\r\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4})[^\r\n]*|all rights reserved[. \t]*(?=[\r\n]|\z)|\(?(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+)"
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -151,7 +151,7 @@ def op8_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     prose = ", ".join(map(quote, NOT_STATED))
     after = "regexp_extract(l, '^copyright[ \\t]+([a-z]+)', 1)"
-    line = f"""CASE WHEN regexp_matches(l, '^copyright([^a-z]|$)') AND {after} NOT IN ({prose}) THEN ''
+    line = f"""CASE WHEN regexp_matches(l, '^copyright[^a-z]') AND NOT regexp_matches(l, '^copyright[ \\t]*$') AND {after} NOT IN ({prose}) THEN ''
  WHEN regexp_matches(l, '^(\\(c\\)|©)[ \\t]*(copyright|[0-9][0-9][0-9][0-9])') THEN '' WHEN regexp_full_match(l, 'all rights reserved[. \\t]*') THEN ''
  WHEN regexp_matches(l, '^[(]?([0-9][0-9]?[.)]|[a-z][)])[ \\t]') THEN regexp_replace(l, '^[(]?[0-9a-z]+[.)]', '') ELSE l END"""
     word = "CASE w " + " ".join(f"WHEN {quote(a)} THEN {quote(b)}" for a, b in WORDS) + " ELSE w END"
@@ -160,9 +160,9 @@ def op8_sql() -> str:
         pairs = f"replace({pairs}, {quote(' ' + a.replace(' ', '  ') + ' ')}, {quote(' ' + b.replace(' ', '  ') + ' ')})"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_texts())
     # a space on either side of each word, so that no two matches share one
-    steps = f"""{{0}}_lines AS (SELECT id, list_transform(string_split_regex(lower(coalesce(body, '')), '[\\r\\n]'), x -> regexp_replace(x, '^[^a-z0-9(©]+', '')) AS ls FROM {{1}}),
-{{0}}_kept AS (SELECT id, array_to_string(list_transform(ls, l -> {line}), chr(10)) AS t FROM {{0}}_lines),
-{{0}}_words AS (SELECT id, list_transform(regexp_extract_all(t, '[a-z0-9\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+'), w -> {word}) AS ws FROM {{0}}_kept),
+    steps = f"""{{0}}_lines AS (SELECT id, list_transform(string_split_regex(lower(coalesce(body, '')), '[\\r\\n]'), lambda x: regexp_replace(x, '^[^a-z0-9(©]+', '')) AS ls FROM {{1}}),
+{{0}}_kept AS (SELECT id, array_to_string(list_transform(ls, lambda l: {line}), chr(10)) AS t FROM {{0}}_lines),
+{{0}}_words AS (SELECT id, list_transform(regexp_extract_all(t, '[a-z0-9\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+'), lambda w: {word}) AS ws FROM {{0}}_kept),
 {{0}}_wide AS (SELECT id, ' ' || array_to_string(ws, '  ') || ' ' AS wide FROM {{0}}_words WHERE len(ws) > 0),
 {{0}}_form AS (SELECT id, sha256(trim(replace({pairs}, '  ', ' '))) AS digest FROM {{0}}_wide)"""
     return f"""WITH texts AS (SELECT row_number() OVER () AS id, license, body FROM (VALUES {known}) AS k(license, body)), {steps.format('k', 'texts')},
