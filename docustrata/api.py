@@ -27,10 +27,11 @@ def routed(document_type: F.Column) -> F.Column:
     return reconcile.schema_of(document_type)
 
 
-def extract(tokens: DataFrame, document_type: str = "auto", config: DataFrame | None = None) -> dict[str, DataFrame]:
+def extract(tokens: DataFrame, document_type: str = "auto", config: DataFrame | None = None, crop_tokens: DataFrame | None = None, crops: DataFrame | None = None) -> dict[str, DataFrame]:
     """fields, reconciled, result and review of documents that may be of several types at once.
 
-    Back sides have their parsed fields passed through: the schema of reconciliation holds none of them.
+    tokens are of one variant of each page. crop_tokens and crops, if given, are a second pass over the crops of single
+    fields (see parse.second_pass). Back sides have their parsed fields passed through: the schema of reconciliation holds none of them.
     """
     spark = tokens.sparkSession
     config = config if config is not None else field_config(spark)
@@ -39,6 +40,13 @@ def extract(tokens: DataFrame, document_type: str = "auto", config: DataFrame |
     cards = parse.parse_cards(typed.where("doc_type <> 'passport'"), config)
     passports = typed.where("doc_type = 'passport'")
     fields = cards.unionByName(parse.parse_passports(passports, config))
+    if crops is not None and crop_tokens is not None:
+        types = typed.select("doc_id", "doc_type").distinct()
+
+        def parsed(moved: DataFrame) -> DataFrame:
+            return parse.parse_cards(moved.where("doc_type <> 'passport'"), config).unionByName(parse.parse_passports(moved.where("doc_type = 'passport'"), config))
+
+        fields = parse.second_pass(fields, crop_tokens.drop("doc_type").join(types, "doc_id"), crops, parsed)
     docs = typed.select("doc_id", F.col("doc_type").alias("document_type")).distinct()
     final = reconcile.reconcile(docs, fields, reconcile.zone_map(parse.zone_candidates(passports)), typed)
     result = reconcile.document_result(final)

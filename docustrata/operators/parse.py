@@ -7,11 +7,14 @@ moves none of them again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docustrata.functions import mrz, text, validators
+from docustrata.functions import mrz, scoring, text, validators
 from docustrata.operators import spatial
+from docustrata.sources.tokens import enriched, reprojected
 
 PASSPORT_FIELDS = ("passport_number", "surname", "given_names", "father_name", "date_of_birth", "date_of_issue", "date_of_expiry", "cnic_number")
 
@@ -190,8 +193,20 @@ def display_names(fields: DataFrame) -> DataFrame:
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """candidates: doc_id, field, variant_ord and the columns of fields. Per document and field the one of the highest layered
     score, the earliest of equals, with its scores; its confidence stays what it was."""
-    from docustrata.functions import scoring
-
     scored = candidates.withColumn("scores", scoring.candidate(F.col("raw_value"), F.col("value"), F.col("ocr_confidence"), F.col("strategy"), F.col("validated"), F.lit("latin"), F.lit(False), F.lit(False)))
     w = Window.partitionBy("doc_id", "field").orderBy(F.desc("scores.field_confidence"), "variant_ord")
     return scored.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def second_pass(fields: DataFrame, crop_tokens: DataFrame, crops: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fields after the crops of single fields were recognised on their own: what a crop says of its field is a further
+    candidate, if it says anything, and the better one stays; of equals the first pass's.
+
+    crop_tokens: tokens in a crop's pixels, with doc_id, doc_type and variant; crops: doc_id, variant, field, left, top,
+    page_width, page_height; parse: tokens of pages to fields.
+    """
+    moved = enriched(reprojected(crop_tokens, crops.drop("field"))).withColumn("doc_id", F.struct("doc_id", "variant"))
+    said = parse(moved.drop("variant")).withColumns({"variant": F.col("doc_id.variant"), "doc_id": F.col("doc_id.doc_id")}).where("value <> ''")
+    said = said.join(crops.select("doc_id", "variant", "field"), ["doc_id", "variant", "field"], "left_semi")
+    both = fields.withColumn("variant_ord", F.lit("")).unionByName(said.withColumnRenamed("variant", "variant_ord"))
+    return best_candidates(both).select(*fields.columns)

@@ -12,12 +12,13 @@ CARD, PASSPORT, ZONE, DATE = r"\b([1-7]\d{4}[-\s]?\d{7}[-\s]?\d{1})\b", r"\b([A-
 
 
 def score_variants(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """tokens (keys, idx, text, confidence, ny1): per variant its scores and matched_fields (a map)."""
+    """tokens (keys, idx, text, confidence, ny1): per variant its scores and matched_fields (a map). Lines without boxes, whose ny1 is null, count instead of bands."""
     t = tokens.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("full"),
         F.avg("confidence").alias("mean"),
         F.sum(F.length("text")).alias("chars"),
         F.count_distinct((F.col("ny1") * 20).cast("int")).alias("bands"),
+        F.count("ny1").alias("boxed"),
         F.count("*").alias("n"),
     )
     get = lambda p: F.regexp_extract("full", p, 1)
@@ -30,10 +31,11 @@ def score_variants(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Da
     }
     entries = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in matched.items())), lambda e: e["v"].isNotNull())
     t = t.withColumn("matched_fields", F.map_from_entries(entries)).withColumn("m", F.size(F.map_keys("matched_fields")))
+    # Divisors and weights of the scores.
     one = lambda c: F.least(F.lit(1.0), c)
-    parts = {"text_coverage": one(F.col("chars") / 150.0), "expected_field_coverage": one(F.col("bands") / 6.0), "critical_field_score": F.when(F.col("m") > 0, one(F.col("m") / 3.0)).otherwise(0.40), "format_score": one(F.col("n") / 4.0)}
+    parts = {"text_coverage": one(F.col("chars") / 150.0), "expected_field_coverage": one(F.when(F.col("boxed") > 0, F.col("bands") / 6.0).otherwise(F.col("n") / 5.0)), "critical_field_score": F.when(F.col("m") > 0, one(F.col("m") / 3.0)).otherwise(0.40), "format_score": one(F.col("n") / 4.0)}
     total = F.col("mean") * 0.25 + parts["text_coverage"] * 0.20 + parts["expected_field_coverage"] * 0.25 + parts["critical_field_score"] * 0.20 + parts["format_score"] * 0.10
-    return t.select(*keys, rounded(F.col("mean"), 4).alias("mean_confidence"), *(rounded(v, 4).alias(k) for k, v in parts.items()), F.lit(0.80).alias("spatial_score"), rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("total_score"), "matched_fields")
+    return t.select(*keys, rounded(F.col("mean"), 4).alias("mean_confidence"), *(rounded(v, 4).alias(k) for k, v in parts.items()), F.lit(0.80).alias("spatial_score"), rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("total_score"), rounded(parts["critical_field_score"], 4).alias("field_score"), "matched_fields")
 
 
 def run_summary(fields: DataFrame, timings: DataFrame) -> DataFrame:

@@ -284,28 +284,36 @@ def config_values() -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in fc.rows()) + ") AS cfg(" + ", ".join(fc.COLUMNS) + ")"
 
 
+def words(e: str) -> str:
+    return sub(f"lower({e})", r"[^\w]")
+
+
+def chars(e: str) -> str:
+    return f"list_distinct(string_split({e}, ''))"
+
+
 def sim_sql(a: str, b: str) -> str:
-    x, y = sub(f"lower({a})", r"[^\w]"), sub(f"lower({b})", r"[^\w]")
-    chars = lambda e: f"list_distinct(string_split({e}, ''))"
+    x, y = words(a), words(b)
     return f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0 WHEN contains({x}, {y}) OR contains({y}, {x}) THEN 1.0 ELSE len(list_intersect({chars(x)}, {chars(y)})) / greatest(len({chars(x)}), len({chars(y)})) END"
 
 
-def parse_ctes(tokens: str, anchor_first: bool) -> str:
-    """t, cfg, anchors, hits, fold and fields (doc_id, field, ..., raw_value and what provenance needs)."""
+def parse_ctes(tokens: str, anchor_first: bool, fields: bool = True) -> str:
+    """t, cfg, anchors, beside, and if wanted hits, fold and fields (doc_id, field, ..., raw_value and what provenance needs)."""
     dist = "sqrt(((t.x1 + t.x2) / 2 - (a.ax1 + a.ax2) / 2) ** 2 + ((t.y1 + t.y2) / 2 - (a.ay1 + a.ay2) / 2) ** 2) <= 500"
     row, col = "abs((t.y1 + t.y2) / 2 - (a.ay1 + a.ay2) / 2) <= 50", "abs((t.x1 + t.x2) / 2 - (a.ax1 + a.ax2) / 2) <= 250"
     first = "'anchor'" if anchor_first else "CASE WHEN c.strategy = 'anchor' THEN 'anchor' ELSE 'region' END"
-    return f"""WITH RECURSIVE t AS ({tokens}), cfg AS (SELECT * FROM {config_values()}),
-cand AS (SELECT t.*, c.field, c.direction AS dir, contains(lower({strip('t.text')}), lower(c.keyword)) OR contains(lower(c.keyword), lower({strip('t.text')})) AS ex, {sim_sql('t.text', 'c.keyword')} AS sim FROM t JOIN cfg c ON t.doc_type = c.doc_type WHERE c.keyword IS NOT NULL),
+    return f"""{"WITH RECURSIVE" if fields else "WITH"} t AS ({tokens}), cfg AS (SELECT * FROM {config_values()}),
+tw AS MATERIALIZED (SELECT *, lower({strip('text')}) AS tl, {words('text')} AS tws, {chars(words('text'))} AS tcs FROM t), kw AS MATERIALIZED (SELECT *, lower(keyword) AS kl, {words('keyword')} AS kws, {chars(words('keyword'))} AS kcs FROM cfg WHERE keyword IS NOT NULL),
+cand AS (SELECT t.*, c.field, c.direction AS dir, contains(tl, kl) OR contains(kl, tl) AS ex, CASE WHEN tws = '' OR kws = '' THEN 0.0 WHEN contains(tws, kws) OR contains(kws, tws) THEN 1.0 WHEN least(len(tcs), len(kcs)) < 0.65 * greatest(len(tcs), len(kcs)) THEN 0.0 ELSE len(list_intersect(tcs, kcs)) / greatest(len(tcs), len(kcs)) END AS sim FROM tw t JOIN kw c ON t.doc_type = c.doc_type),
 anchors AS (SELECT doc_id, field, dir, idx AS aidx, text AS atext, x1 AS ax1, y1 AS ay1, x2 AS ax2, y2 AS ay2 FROM cand WHERE ex OR sim >= 0.65 QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY CASE WHEN ex THEN 0 ELSE 1 END, CASE WHEN ex THEN 0 ELSE -sim END, idx) = 1),
-beside AS (SELECT t.doc_id, a.field, t.idx, d.way FROM anchors a JOIN t ON t.doc_id = a.doc_id AND t.idx <> a.aidx JOIN (VALUES ('right'), ('left'), ('below'), ('above')) AS d(way) ON CASE d.way WHEN 'right' THEN t.x1 >= a.ax2 - 10 AND {row} WHEN 'left' THEN t.x2 <= a.ax1 + 10 AND {row} WHEN 'below' THEN t.y1 >= a.ay2 - 5 AND t.y1 - a.ay2 <= 50 AND {col} ELSE t.y2 <= a.ay1 + 5 AND a.ay1 - t.y2 <= 50 AND {col} END WHERE {dist}),
+beside AS (SELECT t.doc_id, a.field, t.idx, d.way FROM anchors a JOIN t ON t.doc_id = a.doc_id AND t.idx <> a.aidx JOIN (VALUES ('right'), ('left'), ('below'), ('above')) AS d(way) ON CASE d.way WHEN 'right' THEN t.x1 >= a.ax2 - 10 AND {row} WHEN 'left' THEN t.x2 <= a.ax1 + 10 AND {row} WHEN 'below' THEN t.y1 >= a.ay2 - 5 AND t.y1 - a.ay2 <= 50 AND {col} ELSE t.y2 <= a.ay1 + 5 AND a.ay1 - t.y2 <= 50 AND {col} END WHERE {dist})""" + ("" if not fields else f""",
 hits AS (SELECT t.doc_id, c.field, t.idx, 'region' AS how FROM t JOIN cfg c ON t.doc_type = c.doc_type AND (t.nx1 + t.nx2) / 2 BETWEEN c.rx1 AND c.rx2 AND (t.ny1 + t.ny2) / 2 BETWEEN c.ry1 AND c.ry2
  UNION ALL SELECT b.doc_id, b.field, b.idx, 'anchor' FROM beside b JOIN anchors a ON a.doc_id = b.doc_id AND a.field = b.field AND a.dir = b.way),
 best AS (SELECT h.* FROM hits h JOIN (SELECT DISTINCT doc_type, field, strategy FROM cfg) c ON c.field = h.field AND c.doc_type = (SELECT min(doc_type) FROM t) QUALIFY dense_rank() OVER (PARTITION BY h.doc_id, h.field ORDER BY CASE WHEN h.how = {first} THEN 0 ELSE 1 END) = 1),
 seq AS (SELECT b.doc_id, b.field, t.idx, t.text, t.confidence, t.x1, t.y1, t.x2, t.y2, t.nx1, t.ny1, t.nx2, t.ny2, row_number() OVER (PARTITION BY b.doc_id, b.field ORDER BY t.y1, t.idx) AS rn FROM best b JOIN t ON t.doc_id = b.doc_id AND t.idx = b.idx),
 fold AS (SELECT *, y1 AS line_y, 0 AS line FROM seq WHERE rn = 1 UNION ALL SELECT s.*, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN s.y1 ELSE f.line_y END, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN f.line + 1 ELSE f.line END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.field = f.field AND s.rn = f.rn + 1),
 got AS (SELECT doc_id, field, string_agg(text, ' ' ORDER BY line, x1, rn) AS raw, string_agg(idx::VARCHAR, ',' ORDER BY line, x1, rn) AS indices, avg(confidence) AS mean, count(*) AS n, min(x1) AS bx1, min(y1) AS by1, max(x2) AS bx2, max(y2) AS by2, min(nx1) AS bnx1, min(ny1) AS bny1, max(nx2) AS bnx2, max(ny2) AS bny2 FROM fold GROUP BY ALL),
-fields AS (SELECT d.doc_id, c.field, c.field_ord, c.strategy, c.normalization, c.validator, coalesce(g.raw, '') AS raw_value, coalesce(g.indices, '') AS token_indices, coalesce({r6('g.mean', 4)}, 0.0) AS ocr_confidence, coalesce({r6('least(1.0, 0.7 + 0.3 / g.n)', 4)}, 0.0) AS spatial_confidence, coalesce({r6('0.5 * g.mean + 0.3 * least(1.0, 0.7 + 0.3 / g.n) + 0.2', 4)}, 0.0) AS confidence, g.* EXCLUDE (doc_id, field, raw, indices) FROM (SELECT DISTINCT doc_id, doc_type FROM t) d JOIN cfg c ON c.doc_type = d.doc_type LEFT JOIN got g ON g.doc_id = d.doc_id AND g.field = c.field)"""
+fields AS (SELECT d.doc_id, c.field, c.field_ord, c.strategy, c.normalization, c.validator, coalesce(g.raw, '') AS raw_value, coalesce(g.indices, '') AS token_indices, coalesce({r6('g.mean', 4)}, 0.0) AS ocr_confidence, coalesce({r6('least(1.0, 0.7 + 0.3 / g.n)', 4)}, 0.0) AS spatial_confidence, coalesce({r6('0.5 * g.mean + 0.3 * least(1.0, 0.7 + 0.3 / g.n) + 0.2', 4)}, 0.0) AS confidence, g.* EXCLUDE (doc_id, field, raw, indices) FROM (SELECT DISTINCT doc_id, doc_type FROM t) d JOIN cfg c ON c.doc_type = d.doc_type LEFT JOIN got g ON g.doc_id = d.doc_id AND g.field = c.field)""")
 
 
 def valued(source: str = "fields") -> str:
@@ -438,9 +446,9 @@ def oracle_sql() -> dict[str, str]:
         "join1_region_center": f"SELECT doc_id, field, idx FROM ({c}) t JOIN (SELECT * FROM {config_values()}) c ON t.doc_type = c.doc_type WHERE (nx1 + nx2) / 2 BETWEEN rx1 AND rx2 AND (ny1 + ny2) / 2 BETWEEN ry1 AND ry2",
         "join1_region_overlap": f"SELECT doc_id, field, idx FROM ({c}) t JOIN (SELECT * FROM {config_values()}) c ON t.doc_type = c.doc_type WHERE {ta} > 0 AND {tc} / {ta} >= 0.5",
         "join1_region_iou": f"SELECT doc_id, field, idx FROM ({c}) t JOIN (SELECT * FROM {config_values()}) c ON t.doc_type = c.doc_type WHERE {tc} / ({ta} + {ra} - {tc}) >= 0.05",
-        "join2_anchor": f"{parse_ctes(p, True)} SELECT doc_id, field, aidx AS idx, atext AS text FROM anchors",
+        "join2_anchor": f"{parse_ctes(p, True, False)} SELECT doc_id, field, aidx AS idx, atext AS text FROM anchors",
         "join3_similarity": f"SELECT doc_id, idx, {r6(sim_sql('text', q('Identity Number')), 6)} AS similarity FROM ({c})",
-        **{f"join4_anchor_{w}": f"{parse_ctes(p, True)} SELECT doc_id, field, idx FROM beside WHERE way = '{w}'" for w in ("right", "left", "below", "above")},
+        **{f"join4_anchor_{w}": f"{parse_ctes(p, True, False)} SELECT doc_id, field, idx FROM beside WHERE way = '{w}'" for w in ("right", "left", "below", "above")},
         "join5_card_strategy": f"{ctes} SELECT doc_id, field, token_indices FROM fields",
         "ord1_reading_order": f"""WITH RECURSIVE seq AS (SELECT doc_id, idx, text, x1, y1 + {ordered_y} AS y1, row_number() OVER (PARTITION BY doc_id ORDER BY y1 + {ordered_y}, idx) AS rn FROM ({c})),
 fold AS (SELECT *, y1 AS line_y, 0 AS line FROM seq WHERE rn = 1 UNION ALL SELECT s.*, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN s.y1 ELSE f.line_y END, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN f.line + 1 ELSE f.line END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.rn = f.rn + 1)
@@ -454,7 +462,7 @@ SELECT doc_id, string_agg(idx::VARCHAR, ',' ORDER BY line, x1, rn) AS "order", s
         "agg3_candidate_score": f"{parsed} SELECT doc_id, field, ({val_conf.format(ok='validated')})::DOUBLE AS validation_confidence, {total('ocr_confidence', 'validated')} AS field_confidence FROM v",
         "agg4_variant_score": f"""WITH g AS (SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS full_, avg(confidence) AS mean, sum(length(text)) AS chars, count(DISTINCT trunc(ny1 * 20)) AS bands, count(*) AS n FROM ({p}) GROUP BY doc_id), e AS (SELECT *, {entries} AS m FROM g),
 s AS (SELECT *, least(1.0, chars / 150.0) AS tc, least(1.0, bands / 6.0) AS fcv, CASE WHEN len(m) > 0 THEN least(1.0, len(m) / 3.0) ELSE 0.4 END AS cs, least(1.0, n / 4.0) AS fs FROM e)
-SELECT doc_id, {r6('mean', 4)} AS mean_confidence, {r6('tc', 4)} AS text_coverage, {r6('fcv', 4)} AS expected_field_coverage, {r6('cs', 4)} AS critical_field_score, {r6('fs', 4)} AS format_score, 0.8::DOUBLE AS spatial_score, {r6('greatest(0.0, least(1.0, mean * 0.25 + tc * 0.2 + fcv * 0.25 + cs * 0.2 + fs * 0.1))', 4)} AS total_score, array_to_string(m, ';') AS matched_fields FROM s""",
+SELECT doc_id, {r6('mean', 4)} AS mean_confidence, {r6('tc', 4)} AS text_coverage, {r6('fcv', 4)} AS expected_field_coverage, {r6('cs', 4)} AS critical_field_score, {r6('fs', 4)} AS format_score, 0.8::DOUBLE AS spatial_score, {r6('greatest(0.0, least(1.0, mean * 0.25 + tc * 0.2 + fcv * 0.25 + cs * 0.2 + fs * 0.1))', 4)} AS total_score, {r6('cs', 4)} AS field_score, array_to_string(m, ';') AS matched_fields FROM s""",
         "agg5_calibrated_confidence": f"SELECT k, {r6('least(1.0, greatest(0.0, CASE WHEN k % 5 = 0 AND k % 2 <> 0 AND k % 3 <> 0 THEN least(raw, 0.4) ELSE raw END))', 2)} AS confidence FROM (SELECT {k} AS k, (({k} % 41 + 60) / 100) * 0.25 + (({k} % 29 + 70) / 100) * 0.15 + CASE WHEN {k} % 2 = 0 THEN 0.35 ELSE 0 END + CASE WHEN {k} % 3 = 0 THEN 0.25 ELSE 0 END - CASE WHEN {k} % 7 = 0 THEN 0.15 ELSE 0 END AS raw FROM customer)",
         "agg7_review_routing": f"""{parsed}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE NOT validated) AS bad, {r6('avg(confidence)', 6)} AS mean, flatten(list({reasons} ORDER BY field_ord)) AS why FROM v GROUP BY doc_id)
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'NEEDS_REVIEW' WHEN bad = 0 AND mean >= 0.9 THEN 'AUTO_ACCEPT' WHEN mean < 0.6 OR bad >= 3 THEN 'AUTO_REJECT' ELSE 'NEEDS_REVIEW' END AS review_state, CASE WHEN doc_id % 10 = 0 THEN 'Low document classification confidence (65%)' WHEN bad = 0 AND mean >= 0.9 THEN 'All critical fields validated with high confidence' ELSE array_to_string(why, '; ') END AS review_reasons FROM g""",

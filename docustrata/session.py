@@ -50,13 +50,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _tables: dict[tuple[str, ...], str] = {}
+_scratch: dict[str, SparkSession] = {}
+
+
+def _sweep() -> None:
+    for path, spark in list(_scratch.items()):
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session may be gone at exit; the cluster's own sweep then removes the folder
+            return
+
+
+atexit.register(_sweep)
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/docustrata-{tag}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a path of scratch_path, when nothing will read it any more."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    _scratch.pop(path, None)
 
 
 def materialized(spark: SparkSession, name: tuple[str, ...], made: DataFrame) -> DataFrame:
-    """made, as a Parquet table in the shared folder that one application writes once for each name."""
+    """made, as a Parquet table in the shared folder that one application writes once for each name and removes at its end."""
     key = (spark.sparkContext.applicationId, *name)
     if key not in _tables:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/docustrata-{uuid.uuid4().hex}"
+        path = scratch_path(spark, name[0])
         made.write.parquet(path)
         _tables[key] = path
     return spark.read.schema(made.schema).parquet(_tables[key])

@@ -6,6 +6,7 @@ whatever turns an image into tokens. None is bundled: `recognize` takes one.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -20,6 +21,7 @@ from docustrata.operators import images
 
 SCHEMA = "doc_id string, variant string, page int, idx int, text string, confidence double, x1 double, y1 double, x2 double, y2 double, image_width int, image_height int, source string, error string"
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
+logger = logging.getLogger(__name__)
 
 
 class Engine(Protocol):
@@ -30,6 +32,48 @@ class Engine(Protocol):
     def tokens(self, image: np.ndarray, document_type: str) -> Iterable[tuple[str, float, list[tuple[float, float]]]]: ...
 
 
+class Preferred:
+    """The first of several engines that can be made. Without any, and for an image on which it fails, there are no tokens."""
+
+    def __init__(self, *makers: Callable[[], Engine]):
+        self.engine: Engine | None = None
+        for make in makers:
+            try:
+                self.engine = make()
+                break
+            except Exception as e:  # an engine that isn't installed, or lacks its model
+                logger.warning("%s can't be used: %s", getattr(make, "__name__", make), e)
+
+    @property
+    def name(self) -> str:
+        return self.engine.name if self.engine else "none"
+
+    def tokens(self, image: np.ndarray, document_type: str) -> Iterable[tuple[str, float, list[tuple[float, float]]]]:
+        try:
+            return list(self.engine.tokens(image, document_type)) if self.engine else []
+        except Exception as e:
+            logger.error("%s failed: %s", self.name, e)
+            return []
+
+
+def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """img_id (the path), height, width, channels, data of a table (path, content). decode gives an array or raises; what it can't read is left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in pdf[["path", "content"]].itertuples(index=False):
+                try:
+                    a = np.ascontiguousarray(decode(bytes(content)))
+                except Exception as e:
+                    logger.warning("%s can't be read: %s", path, e)
+                    continue
+                out.append((path, a.shape[0], a.shape[1], 1 if a.ndim == 2 else a.shape[2], a.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "data"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, height int, width int, channels int, data binary")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """img_id (the path), height, width, channels, data of the images that can be decoded."""
     rows = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(path)
