@@ -100,7 +100,7 @@ TITLES = {
 }
 
 #: What goes at the start of a line, in one pass: statements of a copyright to their end, then list marks.
-OPENING = r"(^|[\r\n])[^a-z0-9(©\r\n]*(?:copyright(?![a-z]|[ \t]*(?:[\r\n]|\z)|[ \t]+(?:" + "|".join(NOT_STATED) + r")(?![a-z]))[^\r\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4})[^\r\n]*|all rights reserved[. \t]*(?=[\r\n]|\z)|\(?(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+)"
+OPENING = r"(^|[\r\n])[^a-z0-9(\r\n\x{80}-\x{10FFFF}]*(?:copyright(?![a-z]|[ \t]*(?:[\r\n]|\z)|[ \t]+(?:" + "|".join(NOT_STATED) + r")(?![a-z]))[^\r\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4})[^\r\n]*|all rights reserved[. \t]*(?=[\r\n]|\z)|\(?(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+)"
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -160,7 +160,7 @@ def op8_sql() -> str:
         pairs = f"replace({pairs}, {quote(' ' + a.replace(' ', '  ') + ' ')}, {quote(' ' + b.replace(' ', '  ') + ' ')})"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known_texts())
     # a space on either side of each word, so that no two matches share one
-    steps = f"""{{0}}_lines AS (SELECT id, list_transform(string_split_regex(lower(coalesce(body, '')), '[\\r\\n]'), lambda x: regexp_replace(x, '^[^a-z0-9(©]+', '')) AS ls FROM {{1}}),
+    steps = f"""{{0}}_lines AS (SELECT id, list_transform(string_split_regex(lower(coalesce(body, '')), '[\\r\\n]'), lambda x: regexp_replace(x, '^[^a-z0-9(\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+', '')) AS ls FROM {{1}}),
 {{0}}_kept AS (SELECT id, array_to_string(list_transform(ls, lambda l: {line}), chr(10)) AS t FROM {{0}}_lines),
 {{0}}_words AS (SELECT id, list_transform(regexp_extract_all(t, '[a-z0-9\\x{{{{80}}}}-\\x{{{{10FFFF}}}}]+'), lambda w: {word}) AS ws FROM {{0}}_kept),
 {{0}}_wide AS (SELECT id, ' ' || array_to_string(ws, '  ') || ' ' AS wide FROM {{0}}_words WHERE len(ws) > 0),
