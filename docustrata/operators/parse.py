@@ -1,8 +1,8 @@
 """Parsers: tokens to fields, for cards and passports.
 
 Every configured field gives a row for every document, with or without tokens.
-Tokens are dealt by document once; what follows groups and joins by document and
-moves none of them again.
+Tokens are dealt by document once, into one row for each document; all that follows
+is arithmetic on that row and on the fields of one document, and moves nothing.
 """
 
 from __future__ import annotations
@@ -36,16 +36,13 @@ def provenance(tokens: Column) -> dict[str, Column]:
     }
 
 
-def candidates(tokens: DataFrame, config: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, doc_type, field, region, anchor: the tokens in a field's region and beside its anchor, for every configured
-    field and every other one that has an anchor in found. A document has tens of tokens."""
-    keep = F.struct("idx", "text", "confidence", *spatial.PX, *spatial.NORM)
-    hit = lambda df, how: df.select("doc_id", "doc_type", "field", F.lit(how).alias("how"), keep.alias("token"))
-    at = hit(spatial.in_regions(tokens, config), "region").unionByName(hit(spatial.around_anchors(tokens, found), "anchor"))
-    docs = tokens.groupBy("doc_id", "doc_type").agg(F.lit("none").alias("how"))
-    every = docs.join(F.broadcast(config.select("doc_type", "field")), "doc_type").select("doc_id", "doc_type", "field", "how", F.lit(None).cast(at.schema["token"].dataType).alias("token"))
-    of = lambda how: F.collect_list(F.when(F.col("how") == how, F.col("token"))).alias(how)
-    return at.unionByName(every).groupBy("doc_id", "doc_type", "field").agg(of("region"), of("anchor"))
+def located(pages: DataFrame, config: DataFrame) -> DataFrame:
+    """pages by configured field: the configuration's columns, region and anchor, the tokens in the field's region and beside its label."""
+    keyed = spatial.with_keys(config.withColumn("__key", F.col("keyword")), "__key").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")}).drop("__key")
+    both = pages.join(F.broadcast(keyed), "doc_type")
+    both = both.withColumn("label", F.when(F.col("keyword").isNotNull(), spatial.anchor_in(F.col("page"), F.col("k_low"), F.col("k_word"), F.col("k_set"))))
+    region = spatial.within(F.col("page"), spatial.cols(spatial.REGION), F.col("containment"), F.col("minimum_overlap"))
+    return both.withColumns({"region": region, "anchor": spatial.beside(F.col("page"), F.col("label"), F.col("direction"))}).drop("label", "page", "k_low", "k_word", "k_set")
 
 
 def first_of(one: str, two: str) -> Column:
@@ -53,20 +50,19 @@ def first_of(one: str, two: str) -> Column:
     return F.when(F.size(one) > 0, F.col(one)).otherwise(F.col(two))
 
 
-def fields_of(picked: DataFrame, family: str, clean: bool, strict: bool = False) -> DataFrame:
-    """picked: doc_id, doc_type, the configuration's columns and the tokens of each field, in reading order."""
+def fields_of(picked: DataFrame, family: str, clean: bool, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """picked: doc_id, doc_type, the configuration's columns and the tokens of each field, in reading order. carry: further columns that stay."""
     raw = F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
     out = picked.withColumn("raw_value", F.coalesce(raw, F.lit("")))
     value = text.normalized(text.without_noise(F.col("raw_value")) if clean else F.col("raw_value"), F.col("normalization"))
     out = out.withColumn("value", value).withColumn("validated", validators.validated(F.col("value"), F.col("validator"), family, strict))
     parts = {k: F.coalesce(v, F.lit(0.0)) if k.endswith("confidence") else v for k, v in provenance(F.col("tokens")).items()}
-    return out.select("doc_id", "doc_type", "field", "field_ord", "strategy", "language", "script", "raw_value", "value", "validated", F.when(F.col("validated"), F.array().cast("array<string>")).otherwise(F.array(F.lit("invalid_format"))).alias("validation_errors"), *(v.alias(k) for k, v in parts.items()))
+    return out.select("doc_id", "doc_type", "field", "field_ord", "strategy", "language", "script", "raw_value", "value", "validated", F.when(F.col("validated"), F.array().cast("array<string>")).otherwise(F.array(F.lit("invalid_format"))).alias("validation_errors"), *(v.alias(k) for k, v in parts.items()), *carry)
 
 
 def parse_cards(tokens: DataFrame, config: DataFrame) -> DataFrame:
     """A row for each document and configured field: tokens of its region, and of its anchor where the region is empty or the strategy says so."""
-    tokens = tokens.repartition("doc_id")
-    got = candidates(tokens, config, spatial.anchors(tokens, config)).join(F.broadcast(config), ["doc_type", "field"])
+    got = located(spatial.pages(tokens), config)
     pick = F.when(F.col("strategy") == "anchor", first_of("anchor", "region")).otherwise(first_of("region", "anchor"))
     return fields_of(got.withColumn("tokens", spatial.reading_order(pick)).drop("region", "anchor"), "card", clean=False)
 
@@ -119,43 +115,42 @@ def date_ranks(tokens: DataFrame) -> DataFrame:
 FATHERS = ("Father Name", "Father", "Husband")
 
 
-def with_father(found: DataFrame) -> DataFrame:
-    """found, with the first of the FATHERS that a document has as an anchor of the fields `below` and `right` in these directions."""
-    kind = found.schema["anchor"].dataType
-    every = found.groupBy("doc_id", "doc_type").agg(F.collect_list(F.struct("field", "anchor")).alias("a"))
-    label = lambda x: x["field"].startswith("father:")
-    first = F.get(F.array_sort(F.filter("a", label)), F.lit(0))
-    both = F.array(*(F.struct(F.lit(way).alias("field"), first["anchor"].withField("direction", F.lit(way)).alias("anchor")) for way in ("below", "right")))
-    rows = F.concat(F.filter("a", lambda x: ~label(x)), F.when(first.isNotNull(), both).otherwise(F.slice(both, 1, 0)))
-    return every.select("doc_id", "doc_type", F.explode(rows).alias("r")).select("doc_id", "doc_type", "r.field", F.col("r.anchor").cast(kind).alias("anchor"))
+def father_text(pages: DataFrame) -> Column:
+    """What stands below (else right of) the first of the FATHERS that a page has; null without any."""
+    words = spatial.with_keys(pages.sparkSession.createDataFrame([(w,) for w in FATHERS], "w string"), "w").collect()  # three rows
+    label = F.coalesce(*(spatial.anchor_in(F.col("page"), F.lit(w["low"]), F.lit(w["word"]), F.lit(w["set"])) for w in words))
+
+    def read(at: Column) -> Column:
+        side = lambda way: spatial.beside(F.col("page"), at, F.lit(way))
+        tokens = text.let(side("below"), lambda b: F.when(F.size(b) > 0, b).otherwise(side("right")))
+        return F.when(F.size(tokens) > 0, F.array_join(F.transform(spatial.reading_order(tokens), lambda t: t["text"]), " "))
+
+    return text.let(label, read)
 
 
 def parse_passports(tokens: DataFrame, config: DataFrame, strict: bool = False) -> DataFrame:
     """A row for each document and configured field, after the passes in their order: anchors and regions, patterns in the
     whole text, dates by year, the father's name, and the machine-readable zone."""
-    spark, tokens = tokens.sparkSession, tokens.repartition("doc_id")
-    words = spark.createDataFrame([("passport", f"father:{i}", w, "below") for i, w in enumerate(FATHERS)], "doc_type string, field string, keyword string, direction string")
-    found = with_father(spatial.anchors(tokens, config.select("doc_type", "field", "keyword", "direction").unionByName(words)))
-    got = candidates(tokens, config, found).join(F.broadcast(config), ["doc_type", "field"], "left")
+    pages = spatial.pages(tokens)
+    t = lambda x: x["text"]
+    zone = F.filter("page", lambda x: mrz.is_zone(t(x)))
+    last = lambda keep: F.try_element_at(F.filter(zone, keep), F.lit(-1))["text"]
+    one = lambda x: F.contains(t(x), F.lit("P<"))
+    of = {
+        "raw_text": F.array_join(F.transform("page", t), " "),
+        "line1": last(one),
+        "line2": last(lambda x: ~one(x) & (F.length(t(x)) > 15)),
+        "dates": ranked(F.filter(F.transform(F.filter("page", lambda x: t(x).rlike(r"\d")), lambda x: F.struct(x["idx"].alias("i"), dated(t(x)).alias("d"))), lambda x: x["d"].isNotNull())),
+        "beside_father": father_text(pages),
+    }
+    got = located(pages.withColumns(of), config)
     picked = got.withColumn("tokens", spatial.reading_order(first_of("anchor", "region"))).drop("region", "anchor")
-    rows = fields_of(picked, "passport", clean=True, strict=strict)
+    rows = fields_of(picked, "passport", clean=True, strict=strict, carry=tuple(of)).where(F.col("field").isin(*PASSPORT_FIELDS))
     # a document's fields in one row, where the passes change them
-    raw = F.col("raw_value")
-    beside = lambda way: F.max(F.when(F.col("field") == way, raw)).alias(way)
-    kept = [c for c in rows.columns if c != "doc_id"]
-    wide = rows.groupBy("doc_id").agg(F.collect_list(F.when(F.col("field").isin(*PASSPORT_FIELDS), F.struct(*kept))).alias("fields"), beside("below"), beside("right"))
-    one = lambda f: F.get(F.filter("fields", lambda x: x["field"] == f), F.lit(0))
-    wide = wide.select("*", *(F.when(one(f).isNotNull(), F.struct(one(f)["value"].alias("value"), one(f)["validated"].alias("validated"))).alias(f) for f in PASSPORT_FIELDS))
-    t, idx, zone = F.col("text"), F.col("idx"), mrz.is_zone(F.col("text"))
-    first, second = zone & F.contains(t, F.lit("P<")), zone & ~F.contains(t, F.lit("P<")) & (F.length(t) > 15)
-    day = dated(t)
-    whole = tokens.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("raw_text"),
-        F.max_by(F.when(first, t), F.when(first, idx)).alias("line1"),
-        F.max_by(F.when(second, t), F.when(second, idx)).alias("line2"),
-        F.collect_list(text.let(day, lambda d: F.when(d.isNotNull(), F.struct(idx.alias("i"), d.alias("d"))))).alias("dates"),
-    )
-    wide = wide.join(whole, "doc_id").withColumn("dates", ranked(F.col("dates")))
+    kept = [c for c in rows.columns if c != "doc_id" and c not in of]
+    wide = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*kept)).alias("fields"), *(F.first(c).alias(c) for c in of))
+    field = lambda f: F.get(F.filter("fields", lambda x: x["field"] == f), F.lit(0))
+    wide = wide.select("*", *(F.when(field(f).isNotNull(), F.struct(field(f)["value"].alias("value"), field(f)["validated"].alias("validated"))).alias(f) for f in PASSPORT_FIELDS))
     wide = wide.withColumn("m1", mrz.line1(F.coalesce("line1", F.lit("")))).withColumn("m2", mrz.line2(F.coalesce("line2", F.lit(""))))
 
     def put(df: DataFrame, field: str, when: Column, value: Column) -> DataFrame:
@@ -168,7 +163,7 @@ def parse_passports(tokens: DataFrame, config: DataFrame, strict: bool = False)
     wide = put(wide, "passport_number", (passport != "") & F.contains(F.lower("raw_text"), F.lit("passport")), passport)
     for f, d in (("date_of_birth", F.get("dates", F.lit(0))), ("date_of_issue", F.get("dates", F.lit(1))), ("date_of_expiry", F.try_element_at("dates", F.lit(-1)))):
         wide = put(wide, f, (F.size("dates") >= 3) & ~ok(f), d)
-    father = F.coalesce(text.father_name(text.without_noise(F.coalesce("below", "right"))), F.lit(""))
+    father = F.coalesce(text.father_name(text.without_noise(F.col("beside_father"))), F.lit(""))
     wide = wide.withColumn("__father", father)
     comma = F.coalesce(text.comma_name(F.col("raw_text"), val("surname"), val("given_names")), F.lit(""))
     wide = wide.withColumn("__father", F.when(F.col("__father") != "", F.col("__father")).otherwise(comma))

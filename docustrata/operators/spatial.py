@@ -7,6 +7,8 @@ over tokens without a shuffle; anchors and what stands around them meet on doc_i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,58 @@ def similarity(a: Column, b: Column) -> Column:
     return similar(x, y, characters(x), characters(y))
 
 
+def with_keys(df: DataFrame, text: str) -> DataFrame:
+    """What labels are compared by: lower-cased text, word characters and their set, made on either side before the two meet."""
+    return df.withColumns({"low": F.lower(strip(F.col(text))), "word": word_text(F.col(text))}).withColumn("set", characters(F.col("word")))
+
+
+def likeness(token: Callable[[str], Column], key: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Whether one text contains the other, and how similar they are."""
+    exact = F.contains(token("low"), key("low")) | F.contains(key("low"), token("low"))
+    return exact, similar(token("word"), key("word"), token("set"), key("set"))
+
+
 def anchors(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """keywords: doc_type, field, keyword. Per document and field the token that is its label: the first that contains
     the keyword or is contained in it (an empty one is), else the most similar one of SIMILAR or more, the first of equals."""
-    words = keywords.where("keyword is not null").select(F.col("doc_type").alias("__type"), "field", "keyword", *([c for c in ("direction",) if c in keywords.columns]))
-    # what depends on one side alone is made before they meet
-    words = words.select("*", F.lower(strip(F.col("keyword"))).alias("__k"), word_text(F.col("keyword")).alias("__kw")).withColumn("__ks", characters(F.col("__kw")))
-    tokens = tokens.select("*", F.lower(strip(F.col("text"))).alias("__t"), word_text(F.col("text")).alias("__tw")).withColumn("__ts", characters(F.col("__tw")))
-    exact = F.contains("__t", F.col("__k")) | F.contains("__k", F.col("__t"))
-    near = similar(F.col("__tw"), F.col("__kw"), F.col("__ts"), F.col("__ks"))
-    fit = tokens.join(F.broadcast(words), (F.col("doc_type") == F.col("__type")) & (exact | (near >= SIMILAR))).withColumn("__exact", exact)
-    rank = F.struct((~F.col("__exact")).alias("a"), F.when(F.col("__exact"), 0.0).otherwise(-near).alias("b"), F.col("idx").alias("c"))
-    keep = F.struct("idx", "text", *PX, "keyword", *([c for c in ("direction",) if c in keywords.columns]))
-    return fit.groupBy("doc_id", "doc_type", "field").agg(F.min_by(keep, rank).alias("anchor"))
+    more = [c for c in ("direction",) if c in keywords.columns]
+    words = with_keys(keywords.where("keyword is not null").select(F.col("doc_type").alias("__type"), "field", "keyword", *more), "keyword").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")})
+    exact, near = likeness(F.col, lambda c: F.col(f"k_{c}"))
+    fit = with_keys(tokens, "text").join(F.broadcast(words), (F.col("doc_type") == F.col("__type")) & (exact | (near >= SIMILAR)))
+    rank = F.struct((~exact).alias("a"), F.when(exact, 0.0).otherwise(-near).alias("b"), F.col("idx").alias("c"))
+    return fit.groupBy("doc_id", "doc_type", "field").agg(F.min_by(F.struct("idx", "text", *PX, "keyword", *more), rank).alias("anchor"))
+
+
+def pages(tokens: DataFrame) -> DataFrame:
+    """doc_id, doc_type and the document's tokens in their order, with what labels are compared by. A document has tens of tokens."""
+    t = F.struct("idx", "text", "confidence", *PX, *NORM, "low", "word", "set")
+    return with_keys(tokens, "text").repartition("doc_id").groupBy("doc_id", "doc_type").agg(F.array_sort(F.collect_list(t)).alias("page"))
+
+
+def anchor_in(page: Column, low: Column, word: Column, letters: Column) -> Column:
+    """The token of a page that is a keyword's label, as anchors() chooses it; null without one. The keyword's keys as with_keys makes them."""
+    key = lambda c: {"low": low, "word": word, "set": letters}[c]
+
+    def fits(t: Column) -> Column:
+        exact, near = likeness(lambda c: t[c], key)
+        return exact | (near >= SIMILAR)
+
+    def ranked(t: Column) -> Column:
+        exact, near = likeness(lambda c: t[c], key)
+        return F.struct((~exact).alias("a"), F.when(exact, 0.0).otherwise(-near).alias("b"), t.alias("t"))
+
+    return F.array_min(F.transform(F.filter(page, fits), ranked))["t"]
+
+
+def beside(page: Column, anchor: Column, direction: Column) -> Column:
+    """The tokens of a page that stand in a direction of an anchor; none without one."""
+    at = lambda t: [t[c] for c in PX]
+    return F.filter(page, lambda t: (t["idx"] != anchor["idx"]) & relative(direction, at(t), at(anchor)))
+
+
+def within(page: Column, region: Sequence[Column], containment: Column, least: Column) -> Column:
+    """The tokens of a page in a region; none without one."""
+    return F.filter(page, lambda t: geometry.contained(containment, [t[c] for c in NORM], region, least))
 
 
 def relative(direction: Column, token: list[Column], anchor: list[Column], distance: Column | float = DISTANCE, line: Column | float = LINE, column: Column | float = COLUMN) -> Column:
