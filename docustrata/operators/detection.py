@@ -305,3 +305,45 @@ def boundaries(frames: DataFrame) -> DataFrame:
             yield pd.DataFrame({"img_id": pdf["img_id"], "corners": [f["corners"].ravel().tolist() for f in found], "confidence": [float(f["confidence"]) for f in found], "detected": [f["detected"] for f in found], "method": [f["method"] for f in found], "angle": [images.deskew_angle(line_angles(a)) for a in every]})
 
     return frames.select("img_id", "height", "width", "channels", "data").mapInPandas(run, "img_id long, corners array<double>, confidence double, detected boolean, method string, angle double")
+
+
+# Shape of a card and of other pages, confidence from which a boundary is warped.
+CARD, OTHER, TRUSTED = 1.5858, 1.4205, 0.60
+
+
+def canonicalize(a: np.ndarray, document_type: str = "cnic_front", found: dict | None = None, angles: list[float] | None = None, width: int = 2000) -> dict:
+    """A photo as a page: its boundary warped, or landmarks aligned where there is none to trust, deskewed, evenly lit.
+
+    found and angles are what a detector gives, this module's if not named. matrix takes points of the photo to the page,
+    with the rotation in it; stages are the images on the way, by name.
+    """
+    bgr = images.to_bgr(a)
+    ratio = CARD if "cnic" in document_type else OTHER
+    box = boundary(bgr) if found is None else found
+    stages = [("01_original", bgr)]
+    if box["detected"] and box["confidence"] >= TRUSTED:
+        page, m, _ = images.warp(bgr, box["corners"], ratio, width)
+        stages.append(("02_perspective", page))
+    else:
+        page, m, aligned = align(bgr, width, int(width / ratio))
+        stages.append(("02_landmarks" if aligned else "02_resized", page))
+    t = images.deskew_angle(line_angles(page) if angles is None else angles)
+    if t:
+        r, (h, w) = np.deg2rad(t), page.shape[:2]
+        turn = np.array([[np.cos(r), np.sin(r), w / 2 - np.cos(r) * w / 2 - np.sin(r) * h / 2], [-np.sin(r), np.cos(r), h / 2 + np.sin(r) * w / 2 - np.cos(r) * h / 2], [0, 0, 1]])
+        page, m = images.rotate(page, t), turn @ m
+        stages.append(("03_deskew", page))
+    page = images.normalize_format(page, width)
+    return {"image": page, "matrix": m, "boundary": box, "angle": t, "stages": [*stages, ("10_canonical", page)]}
+
+
+def stage_rows(frames: DataFrame, document_type: str = "cnic_front", width: int = 2000) -> DataFrame:
+    """img_id, stage and the image's columns: each image in every stage of canonicalize, the last one its page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, h, w, c, data in pdf[["img_id", "height", "width", "channels", "data"]].itertuples(index=False):
+                made = canonicalize(images.array(h, w, c, data), document_type, width=width)["stages"]
+                yield pd.DataFrame([(i, n, x.shape[0], x.shape[1], 1 if x.ndim == 2 else x.shape[2], np.ascontiguousarray(x).tobytes()) for n, x in made], columns=["img_id", "stage", "height", "width", "channels", "data"])
+
+    return frames.select("img_id", "height", "width", "channels", "data").mapInPandas(run, "img_id long, stage string, height int, width int, channels int, data binary")

@@ -397,22 +397,6 @@ def normalize_format(a: np.ndarray, width: int = 2000) -> np.ndarray:
     return clahe(illumination(resize(a, max(1, round(a.shape[0] * width / a.shape[1])), width)))
 
 
-def canonicalize(a: np.ndarray, document_type: str = "cnic_front", corners: np.ndarray | None = None, angles: list[float] | None = None) -> dict:
-    """Boundary, warp or resize, deskew, format. The map takes points of the photo to the page, with the rotation in it."""
-    bgr = to_bgr(a)
-    h, w = bgr.shape[:2]
-    ratio = 1.5858 if "cnic" in document_type else 1.4205
-    box = accept_quad(corners if corners is not None else np.empty((0, 2)), h, w)
-    page, m, warped = warp(bgr, box["corners"] if box["confidence"] >= 0.60 else np.empty((0, 2)), ratio)
-    t = deskew_angle(angles or [])
-    if t:
-        r, (ph, pw) = np.deg2rad(t), page.shape[:2]
-        turn = np.array([[np.cos(r), np.sin(r), pw / 2 - np.cos(r) * pw / 2 - np.sin(r) * ph / 2], [-np.sin(r), np.cos(r), ph / 2 + np.sin(r) * pw / 2 - np.cos(r) * ph / 2], [0, 0, 1]])
-        page, m = rotate(page, t), turn @ m
-    stages = ["01_original", "02_perspective" if warped else "02_resized", *(["03_deskew"] if t else []), "10_canonical"]
-    return {"image": normalize_format(page), "matrix": m, "boundary": box, "stages": stages}
-
-
 def metrics(images: DataFrame) -> DataFrame:
     """img_id, laplacian_var, noise and the share of white after the global threshold: the kernels' own figures."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

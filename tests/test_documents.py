@@ -87,6 +87,51 @@ def test_extract_mixes_types(spark):
     assert got["review"].count() == 2
 
 
+def test_second_pass(spark):
+    """A crop of the number reads what the page blurred; a crop that says nothing, or of another field, changes nothing."""
+    c = fc.field_config(spark)
+    page = tokens(spark, "cnic_front", [("4210l-1234567-1", 0.61, (360, 520, 650, 550)), ("15.08.1990", 0.94, (200, 650, 400, 680))])
+    first = parse.parse_cards(page, c)
+    assert not by_field(first)["cnic_number"].validated
+    crops = spark.createDataFrame([(1, "roi_a", "cnic_number", 200.0, 500.0, 1000, 1000), (1, "roi_b", "date_of_birth", 190.0, 640.0, 1000, 1000)], "doc_id long, variant string, field string, left double, top double, page_width int, page_height int")
+    shape = "doc_id long, doc_type string, variant string, idx int, text string, confidence double, x1 double, y1 double, x2 double, y2 double, image_width int, image_height int"
+    read = spark.createDataFrame([(1, "cnic_front", "roi_a", 0, "42101-1234567-1", 0.97, 160.0, 20.0, 450.0, 50.0, 650, 130)], shape)
+    got = by_field(parse.second_pass(first, read, crops, lambda t: parse.parse_cards(t, c)))
+    assert (got["cnic_number"].value, got["cnic_number"].validated, got["cnic_number"].ocr_confidence, got["cnic_number"].bbox) == ("42101-1234567-1", True, 0.97, [360.0, 520.0, 650.0, 550.0])
+    assert got["date_of_birth"].value == "15.08.1990" and len(got) == 8
+    both = tokens(spark, "x", CARD + [("Name", 0.9, (10, 10, 20, 20)), ("IDENTITY NUMBER", 0.9, (10, 30, 20, 40))])
+    assert {r.field: r.value for r in api.extract(both, crop_tokens=read, crops=crops)["fields"].collect()}["cnic_number"] == "42101-1234567-1"
+
+
+def test_evidence_and_prompt(spark):
+    import json
+
+    from docustrata.operators import evidence
+
+    t = tokens(spark, "passport", [("PASSPORT", 0.98, (10, 10, 100, 30)), ("07APR1966", 0.88, (200, 300, 400, 350)), ("23JUL2019", 0.91, (200, 400, 400, 450)), ("22JUL2029", 0.95, (200, 500, 400, 550)),
+                               ("P<PAKJAVED<<AKHTER<<<<<<<<<<<<<<<<<<<<<<<<<<", 0.9, (10, 600, 900, 620)), ("AG86775647PAK6604071M29072243740616247565<18", 0.9, (10, 640, 900, 660))], (2000, 1407))
+    c = parse.parse_passports(t, fc.field_config(spark))
+    seen = spark.createDataFrame([(1, 0.91234, 123.456)], "doc_id long, overall_score double, blur_score double")
+    made = evidence.evidence(t, c, parse.zone_candidates(t), seen, spark.createDataFrame([(1, False)], "doc_id long, detected boolean"))
+    e = made.first().evidence
+    assert e.document_type == "passport" and [x.text for x in e.ocr_tokens][:2] == ["PASSPORT", "07APR1966"] and e.mrz.parsed["passport_number"] == "AG8677564"
+    assert e.document_geometry.asDict() == {"canonical_width": 2000, "canonical_height": 1407, "perspective_corrected": False, "deskewed": True}
+    assert (e.quality.overall_score, e.quality.blur_score, e.quality.contrast_score) == (0.9123, 123.46, 0.6) and all(e.mrz.checks)
+    p = evidence.prompts(made).first()
+    payload = json.loads(p.user_prompt.split("```json\n")[1].split("\n```")[0])
+    assert payload["document_schema"]["critical_fields"] == ["passport_number", "surname", "given_names", "date_of_birth", "date_of_expiry"] and payload["document_schema"]["fields"]["father_name"]["authoritative_sources"] == ["visual_ocr"]
+    assert payload["candidate_fields"]["passport_number"]["candidate_value"] == "AG8677564" and "JSON" in p.system_prompt
+    assert [evidence.Reasoner(x).temperature for x in (-1, 0.1, 2)] == [0.0, 0.1, 0.2]
+    asked = []
+    rules = spark.range(1)
+    assert evidence.Reasoner().reconcile(made, rules) is rules and evidence.Reasoner(0.9, lambda q, x: asked.append((q.count(), x)) or rules).reconcile(made, rules) is rules and asked == [(1, 0.2)]
+
+
+def test_variant_without_boxes(spark):
+    lines = tokens(spark, "passport", PASSPORT).withColumn("ny1", F.lit(None).cast("double"))
+    assert variants.score_variants(lines.where("idx < 2")).first().expected_field_coverage == 0.4 and variants.score_variants(lines).first().field_score == 0.6667  # two of three matches
+
+
 def test_no_tokens_no_rows(spark):
     empty = tokens(spark, "passport", PASSPORT).where("false")
     assert parse.parse_passports(empty, fc.field_config(spark)).count() == 0

@@ -92,3 +92,22 @@ def test_nulls_stay(spark):
     df = spark.createDataFrame([(None,)], "s string")
     for rule in (text.card_number, text.date_text, text.father_name, text.passport_number, text.iso_date, redact.mask, redact.redact_text):
         assert df.select(rule(F.col("s"))).first()[0] is None
+
+
+def test_sanitize_lists_and_groups(spark):
+    from pyspark.sql import Row
+
+    made = spark.createDataFrame([Row(k=1, tags=["card 37406-1624756-5", "plain"], numbers=[5, 6], raw_value=["Jane Doe"], name=Row(en="Jane AB1234567", age=7), rows=[Row(surname="DOE AB1234567", note="AB1234567")], passport_number=9, notes={"name": "AB1234567", "other": "AB1234567"})])
+    r = redact.sanitize(made).first()
+    assert r.tags == ["card [REDACTED_CNIC]", "plain"] and r.numbers == ["5", "6"] and r.raw_value == "[REDACTED_PII]" and r.passport_number == "[REDACTED_PII]"
+    assert r.name == Row(en="Jane [REDACTED_PASSPORT]", age="7") and r.rows == [Row(surname="DOE [REDACTED_PASSPORT]", note="AB1234567")]
+    assert r.notes == {"name": "[REDACTED_PASSPORT]", "other": "AB1234567"} and r.k == 1
+
+
+def test_mask_filter(caplog):
+    import logging
+
+    log = logging.getLogger("docustrata.test")
+    log.addFilter(redact.MaskFilter())
+    log.warning("card 37406-1624756-5 of AG8677564")
+    assert caplog.messages == ["card *****-*******-5 of AG*******"]
