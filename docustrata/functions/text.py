@@ -99,6 +99,7 @@ def date_text(c: Column) -> Column:
 
 
 def _dotted(t: Column) -> Column:
+    # Dates with a month's name, day first, year first.
     alpha, dmy, ymd = r"\b(\d{1,2})[\s./-]*([A-Za-z]{3})[\s./-]*(\d{4})\b", r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b", r"\b(\d{4})[./-](\d{1,2})[./-](\d{1,2})\b"
     g = lambda p, i: F.regexp_extract(t, p, i)
     two = lambda x: F.lpad(x, 2, "0")
@@ -169,6 +170,7 @@ def iso_date(c: Column) -> Column:
 
 
 def _iso(t: Column) -> Column:
+    # Dates with a month's name, day first, year first.
     alpha, dmy, ymd = r"(\d{1,2})[-\s]?([A-Z]{3})[-\s]?(\d{4})", r"(\d{1,2})[\.\/\-](\d{1,2})[\.\/\-](\d{4})", r"(\d{4})[\.\/\-](\d{1,2})[\.\/\-](\d{1,2})"
     g = lambda p, i: F.regexp_extract(t, p, i)
     two = lambda x: F.lpad(x, 2, "0")
@@ -193,6 +195,7 @@ def script(c: Column) -> Column:
 
 def repair_digits(c: Column) -> Column:
     """Letters that OCR-B digits are taken for."""
+    # The letters and their digits.
     return F.translate(c, "OQILZSBG", "00112586")
 
 

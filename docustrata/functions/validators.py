@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docustrata.functions.text import strip
 
+# Formats of identifiers, lines and dates.
 CARD, PASSPORT, PASSPORT_STRICT, ZONE = r"^[1-7]\d{4}-\d{7}-\d$", r"^[A-Z]{2}\d{7}$|^[A-Z0-9]{8,9}$", r"^[A-Z]{1,3}\d{6,8}$", r"^[A-Z0-9<]{30,}$"
 DATE = r"^(\d{2})\.(\d{2})\.(\d{4})$"
 
@@ -57,6 +58,7 @@ def cross_field(birth: Column, issue: Column, expiry: Column, number: Column | N
     """Warnings of fields that contradict one another, as an array."""
     year = lambda c: F.when(c.rlike(DATE), F.substring(c, 7, 4))
     later = lambda a, b: year(a).try_cast("int") >= year(b).try_cast("int")
+    # The warnings' texts.
     found = [
         F.when(later(birth, issue), F.concat(F.lit("Cross-field warning: Date of birth year ("), year(birth), F.lit(") must be before date of issue year ("), year(issue), F.lit(")"))),
         F.when(later(issue, expiry), F.concat(F.lit("Cross-field warning: Date of issue year ("), year(issue), F.lit(") must be before date of expiry year ("), year(expiry), F.lit(")"))),

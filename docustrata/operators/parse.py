@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docustrata.functions import mrz, scoring, text, validators
 from docustrata.operators import spatial
+from docustrata.session import told
 from docustrata.sources.tokens import enriched, reprojected
 
 PASSPORT_FIELDS = ("passport_number", "surname", "given_names", "father_name", "date_of_birth", "date_of_issue", "date_of_expiry", "cnic_number")
@@ -39,7 +40,7 @@ def provenance(tokens: Column) -> dict[str, Column]:
 def located(pages: DataFrame, config: DataFrame) -> DataFrame:
     """pages by configured field: the configuration's columns, region and anchor, the tokens in the field's region and beside its label."""
     keyed = spatial.with_keys(config.withColumn("__key", F.col("keyword")), "__key").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")}).drop("__key")
-    both = pages.join(F.broadcast(keyed), "doc_type")
+    both = pages.join(told(keyed), "doc_type")
     both = both.withColumn("label", F.when(F.col("keyword").isNotNull(), spatial.anchor_in(F.col("page"), F.col("k_low"), F.col("k_word"), F.col("k_set"))))
     region = spatial.within(F.col("page"), spatial.cols(spatial.REGION), F.col("containment"), F.col("minimum_overlap"))
     return both.withColumns({"region": region, "anchor": spatial.beside(F.col("page"), F.col("label"), F.col("direction"))}).drop("label", "page", "k_low", "k_word", "k_set")
@@ -99,8 +100,7 @@ def dated(c: Column) -> Column:
 
 def ranked(dates: Column) -> Column:
     """Distinct dates of an array of structs (i, d) by year alone, equal years in token order."""
-    at = F.array_sort(dates)
-    once = F.filter(at, lambda x, i: ~F.exists(F.slice(at, F.lit(1), i), lambda y: y["d"] == x["d"]))
+    once = text.let(F.array_sort(dates), lambda at: F.filter(at, lambda x, i: ~F.exists(F.slice(at, F.lit(1), i), lambda y: y["d"] == x["d"])))
     return F.transform(F.array_sort(F.transform(once, lambda x: F.struct(F.substring(x["d"], 7, 4).cast("int").alias("y"), x["i"].alias("i"), x["d"].alias("d")))), lambda x: x["d"])
 
 

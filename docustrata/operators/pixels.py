@@ -88,6 +88,7 @@ def plan(q: DataFrame, perspective: Column | float = 0.5, mode: str = "balanced"
     lit = (F.col("shadow") >= 0.15) | (F.col("brightness") < 0.35) | (F.col("brightness") > 0.75)
     noisy, flat, soft = F.col("noise") > 0.35, (F.col("contrast") < 0.40) | (F.col("brightness") < 0.35), F.col("laplacian_var") < 140
     say = lambda when, yes, no: F.when(when, yes).otherwise(no)
+    # The texts of reasons.
     reasons = [
         say(warp, F.lit("Enabled perspective warp: high boundary confidence"), F.lit("Bypassed perspective correction: low boundary confidence (< 0.60)")),
         say(lit, F.concat(F.lit("Enabled illumination correction: shadow score "), two(F.col("shadow"))), F.lit("Bypassed illumination correction: lighting is uniform")),

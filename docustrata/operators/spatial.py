@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docustrata.functions import geometry
 from docustrata.functions.text import strip
+from docustrata.session import told
 
 PX = ("x1", "y1", "x2", "y2")
 NORM = ("nx1", "ny1", "nx2", "ny2")
@@ -30,7 +31,7 @@ def in_regions(tokens: DataFrame, config: DataFrame) -> DataFrame:
     """tokens with the field (and field_ord) of every region of their document type that holds them. Margins are not applied."""
     regions = config.where("rx1 is not null").select(F.col("doc_type").alias("__type"), "field", "field_ord", *REGION, "containment", "minimum_overlap")
     hit = geometry.contained(F.col("containment"), cols(NORM), cols(REGION), F.col("minimum_overlap"))
-    return tokens.join(F.broadcast(regions), (F.col("doc_type") == F.col("__type")) & hit).drop("__type", *REGION, "containment", "minimum_overlap")
+    return tokens.join(told(regions), (F.col("doc_type") == F.col("__type")) & hit).drop("__type", *REGION, "containment", "minimum_overlap")
 
 
 def word_text(c: Column) -> Column:
@@ -77,7 +78,7 @@ def anchors(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     more = [c for c in ("direction",) if c in keywords.columns]
     words = with_keys(keywords.where("keyword is not null").select(F.col("doc_type").alias("__type"), "field", "keyword", *more), "keyword").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")})
     exact, near = likeness(F.col, lambda c: F.col(f"k_{c}"))
-    fit = with_keys(tokens, "text").join(F.broadcast(words), (F.col("doc_type") == F.col("__type")) & (exact | (near >= SIMILAR)))
+    fit = with_keys(tokens, "text").join(told(words), (F.col("doc_type") == F.col("__type")) & (exact | (near >= SIMILAR)))
     rank = F.struct((~exact).alias("a"), F.when(exact, 0.0).otherwise(-near).alias("b"), F.col("idx").alias("c"))
     return fit.groupBy("doc_id", "doc_type", "field").agg(F.min_by(F.struct("idx", "text", *PX, "keyword", *more), rank).alias("anchor"))
 

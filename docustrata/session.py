@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def get_spark(app: str = "docustrata", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,6 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows of a configuration that is broadcast.
+TOLD = 10_000
+
+
+def told(table: DataFrame, most: int = TOLD) -> DataFrame:
+    """A configuration, to be broadcast if it has `most` rows at most; a larger one is joined as Spark sees fit."""
+    return broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 _tables: dict[tuple[str, ...], str] = {}
 _scratch: dict[str, SparkSession] = {}
 

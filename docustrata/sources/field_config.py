@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docustrata.functions.text import label_default, rounded
+from docustrata.session import told
 
 SCHEMA = (
     "doc_type string, field string, field_ord int, label string, language string, script string, strategy string, profile string, normalization string, validator string,"
@@ -120,9 +121,9 @@ def upsert(config: DataFrame, changes: DataFrame) -> DataFrame:
     extra = [c for c in changes.columns if c not in ("doc_type", "field")]
     marked = changes.select("doc_type", "field", *(F.col(c).alias(f"__{c}") for c in extra), F.lit(True).alias("__there"))
     kinds = dict(config.dtypes)
-    out = config.join(F.broadcast(marked), ["doc_type", "field"], "full_outer")
+    out = config.join(told(marked), ["doc_type", "field"], "full_outer")
     last = config.groupBy("doc_type").agg((F.max("field_ord") + 1).alias("__next"))
-    out = out.join(F.broadcast(last), "doc_type", "left")
+    out = out.join(told(last), "doc_type", "left")
     default = {"field_ord": F.coalesce("__next", F.lit(0)), "label": label_default(F.col("field")), "language": F.lit("en"), "script": F.lit("latin"), "strategy": F.lit("region"), "profile": F.lit("standard"), "normalization": F.lit("none"), "validator": F.lit("none"), "margin": F.lit(0.02), "containment": F.lit("center"), "minimum_overlap": F.lit(0.5), "max_distance": F.lit(500.0), "vertical_tolerance": F.lit(50.0), "critical": F.lit(False)}
 
     def value(c: str) -> F.Column:
