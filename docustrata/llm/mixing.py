@@ -162,7 +162,7 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix: shard, k (its source's slot), epoch, block and the documents' segments in it."""
-        return self.slots.join(self.segments(), [self.sid, "block"])
+        return self.slots.hint("merge").join(self.segments(), [self.sid, "block"])  # what slots grow to is in no statistics
 
     def taken(self) -> DataFrame:
         """Per document row: words that the mix takes of it."""
