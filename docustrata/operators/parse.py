@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from docustrata.functions import mrz, scoring, text, validators
 from docustrata.operators import spatial
-from docustrata.session import told
 from docustrata.sources.tokens import enriched, reprojected
 
 PASSPORT_FIELDS = ("passport_number", "surname", "given_names", "father_name", "date_of_birth", "date_of_issue", "date_of_expiry", "cnic_number")
@@ -39,11 +38,9 @@ def provenance(tokens: Column) -> dict[str, Column]:
 
 def located(pages: DataFrame, config: DataFrame) -> DataFrame:
     """pages by configured field: the configuration's columns, region and anchor, the tokens in the field's region and beside its label."""
-    keyed = spatial.with_keys(config.withColumn("__key", F.col("keyword")), "__key").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")}).drop("__key")
-    both = pages.join(told(keyed), "doc_type")
-    both = both.withColumn("label", F.when(F.col("keyword").isNotNull(), spatial.anchor_in(F.col("page"), F.col("k_low"), F.col("k_word"), F.col("k_set"))))
+    both = spatial.labelled(pages, config)
     region = spatial.within(F.col("page"), spatial.cols(spatial.REGION), F.col("containment"), F.col("minimum_overlap"))
-    return both.withColumns({"region": region, "anchor": spatial.beside(F.col("page"), F.col("label"), F.col("direction"))}).drop("label", "page", "k_low", "k_word", "k_set")
+    return both.withColumns({"region": region, "anchor": spatial.beside(F.col("page"), F.col("label"), F.col("direction"))}).drop("label", "page")
 
 
 def first_of(one: str, two: str) -> Column:

@@ -104,6 +104,14 @@ def anchor_in(page: Column, low: Column, word: Column, letters: Column) -> Colum
     return F.array_min(F.transform(F.filter(page, fits), ranked))["t"]
 
 
+def labelled(of: DataFrame, keywords: DataFrame) -> DataFrame:
+    """pages by keyword row of their document type, with its columns and label, the token that is the keyword's label on the page."""
+    keyed = with_keys(keywords.withColumn("__key", F.col("keyword")), "__key").withColumnsRenamed({c: f"k_{c}" for c in ("low", "word", "set")}).drop("__key")
+    both = of.join(told(keyed), "doc_type")
+    label = anchor_in(F.col("page"), F.col("k_low"), F.col("k_word"), F.col("k_set"))
+    return both.withColumn("label", F.when(F.col("keyword").isNotNull(), label)).drop("k_low", "k_word", "k_set")
+
+
 def beside(page: Column, anchor: Column, direction: Column) -> Column:
     """The tokens of a page that stand in a direction of an anchor; none without one."""
     at = lambda t: [t[c] for c in PX]

@@ -101,9 +101,9 @@ def join3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join4(direction: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = fixtures.passport_tokens(spark, sf_dir)
-        found = spatial.anchors(t, fc.field_config(spark))
-        return spatial.around_anchors(t, found, F.lit(direction)).select("doc_id", "field", "idx")
+        found = spatial.labelled(spatial.pages(fixtures.passport_tokens(spark, sf_dir)), fc.field_config(spark))
+        hits = spatial.beside(F.col("page"), F.col("label"), F.lit(direction))
+        return found.select("doc_id", "field", F.explode(F.transform(hits, lambda t: t["idx"])).alias("idx"))
 
     return run
 
