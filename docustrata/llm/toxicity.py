@@ -110,24 +110,26 @@ class Finder:
 
 def count_terms(sample: DataFrame, partners: list[int] | None = None) -> DataFrame:
     """partner, term, n1, n0: texts of label 1 and 0 that have both; without partners (then -1) all that have the term."""
-    wanted = set(partners or ())
+    wanted = None if partners is None else np.array(sorted(partners), dtype="int64")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in chunks(batches, 0):
-            by, known = [{}, {}], {}
+            by, known = ([], []), {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set(text.split())
                 for w in words - known.keys():
                     known[w] = terms(w)
-                has, seen = {t for w in words for t in known[w]}, by[label]
-                for k in [-1] if partners is None else has & wanted:
-                    at = k * BUCKETS
-                    for t in has:
-                        seen[at + t] = seen.get(at + t, 0) + 1
-            keys = np.array(list(by[0].keys() | by[1].keys()), dtype="int64")
+                has = np.fromiter({t for w in words for t in known[w]}, dtype="int64")
+                beside = np.array([-1]) if wanted is None else has[np.isin(has, wanted)]
+                by[label].append((beside[:, None] * BUCKETS + has[None, :]).ravel())
+            found = [np.unique(np.concatenate([np.empty(0, dtype="int64"), *x]), return_counts=True) for x in by]
+            keys = np.union1d(found[0][0], found[1][0])
+            counts = np.zeros((2, len(keys)), dtype="int64")
+            for y, (k, n) in enumerate(found):
+                counts[y, np.searchsorted(keys, k)] = n
             partner, term = np.divmod(keys, BUCKETS)
-            yield pa.RecordBatch.from_arrays([pa.array(partner), pa.array(term), *(pa.array([by[y].get(k, 0) for k in keys.tolist()], pa.int64()) for y in (1, 0))], names=["partner", "term", "n1", "n0"])
+            yield pa.RecordBatch.from_arrays([pa.array(partner), pa.array(term), pa.array(counts[1]), pa.array(counts[0])], names=["partner", "term", "n1", "n0"])
 
     counted = sample.select("text", F.col("label").cast("int")).mapInArrow(count, "partner long, term long, n1 long, n0 long")
     return counted.groupBy("partner", "term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= LEAST)
