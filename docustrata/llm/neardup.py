@@ -318,9 +318,12 @@ class Forest:
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 every = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in b.column(3)]
-                row = pa.array(np.repeat(np.arange(len(every)), [len(x) for x in every]))
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([b.column(i).take(row) for i in range(3)] + [pa.array(np.concatenate(every))], names=["c", "n", "l", "region"])
+                ends, i = np.cumsum([len(x) for x in every]), 0
+                while i < len(every):  # about BLOCK_SHINGLES at a time; a longer set alone
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_SHINGLES, "right")))
+                    row = pa.array(np.repeat(np.arange(i, j), [len(x) for x in every[i:j]]))
+                    yield pa.RecordBatch.from_arrays([b.column(k).take(row) for k in range(3)] + [pa.array(np.concatenate(every[i:j]))], names=["c", "n", "l", "region"])
+                    i = j
 
         every = classes.join(sets, "c").select("c", "n", "l", "set").mapInArrow(spread, "c long, n long, l long, region long")
         held = every.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
