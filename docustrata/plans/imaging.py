@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docustrata.functions.text import rounded
 from docustrata.operators import images, pixels
 from docustrata.plans import fixtures
 from docustrata.plans.documents import r6
@@ -28,6 +29,11 @@ def planned(px: DataFrame) -> DataFrame:
     return p.select("img_id", "perspective_correction", "illumination_correction", "denoise", "contrast_step", "sharpening", F.element_at("reasons", 4).alias("fourth_reason"))
 
 
+def kernels(px: DataFrame) -> DataFrame:
+    m = images.metrics(images.packed(px))
+    return m.select("img_id", rounded(F.col("laplacian_var"), 4).alias("laplacian_var"), rounded(F.col("noise"), 6).alias("noise"), rounded(F.col("white"), 6).alias("white"))
+
+
 QUERIES: dict[str, Query] = {
     "qlt1_blur": over(pixels.blur),
     "qlt2_qlt4_light": over(pixels.light),
@@ -45,7 +51,7 @@ QUERIES: dict[str, Query] = {
     "img21_morphology_close": over(lambda px: pixels.morphology(px, "close")),
     "img22_border_box": over(lambda px: pixels.border_box(px, 200, 0.1)),
     "img23_zone_crop": over(pixels.zone_crop),
-    "img_kernels": over(lambda px: images.metrics(images.packed(px))),
+    "img_kernels": over(kernels),
 }
 
 
@@ -75,6 +81,11 @@ def oracle_sql() -> dict[str, str]:
             sql = f"(SELECT img_id, r, c, {f}(gray) OVER {cols_(1)} AS gray FROM {sql})"
         return f"{p} SELECT * FROM {sql}"
 
+    # noise: the weights 1 4 6 4 1 across and down, borders mirrored
+    mirrored = lambda x, n: f"CASE WHEN {x} < 0 THEN -({x}) WHEN {x} >= {n} THEN 2 * {n} - 2 - ({x}) ELSE {x} END"
+    taps = "(VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))"
+    soft = f"SELECT p.img_id, p.r, p.c, any_value(p.gray) AS gray, round_even(sum(a.w * b.w * q.gray) / 256.0::DOUBLE, 0) AS soft FROM p JOIN s ON s.img_id = p.img_id JOIN {taps} a(d, w) ON true JOIN {taps} b(d, w) ON true JOIN p q ON q.img_id = p.img_id AND q.r = {mirrored('p.r + a.d', 'h')} AND q.c = {mirrored('p.c + b.d', 'w')} GROUP BY p.img_id, p.r, p.c"
+    soft = soft.replace("b.d >= w ", "b.d >= s.w ").replace("2 * w -", "2 * s.w -")
     o = "p.img_id % 9"
     nr = f"CASE {o} WHEN 3 THEN h - 1 - r WHEN 4 THEN h - 1 - r WHEN 5 THEN c WHEN 6 THEN c WHEN 7 THEN w - 1 - c WHEN 8 THEN w - 1 - c ELSE r END"
     nc = f"CASE {o} WHEN 2 THEN w - 1 - c WHEN 3 THEN w - 1 - c WHEN 5 THEN r WHEN 6 THEN h - 1 - r WHEN 7 THEN h - 1 - r WHEN 8 THEN r ELSE c END"
@@ -90,6 +101,10 @@ def oracle_sql() -> dict[str, str]:
         "img13_linear_contrast": f"{p} SELECT img_id, r, c, least(255, round(abs(gray * 1.5 - 40)))::INT AS gray FROM p",
         "img14_percentile_stretch": f"{p}, k AS (SELECT img_id, quantile_cont(gray, 0.05) AS a, quantile_cont(gray, 0.95) AS b FROM p GROUP BY img_id) SELECT p.img_id, r, c, CASE WHEN b > a THEN trunc(greatest(0.0, least(255.0, (gray - a) * 255 / (b - a))))::INT ELSE gray END AS gray FROM p JOIN k ON p.img_id = k.img_id",
         "img19_otsu": f"{p}, h AS (SELECT img_id, gray, count(*) AS n FROM p GROUP BY ALL), c AS (SELECT img_id, gray, sum(n) OVER a::DOUBLE AS w0, sum(n * gray) OVER a::DOUBLE AS s0, sum(n) OVER e::DOUBLE AS w, sum(n * gray) OVER e::DOUBLE AS s FROM h WINDOW a AS (PARTITION BY img_id ORDER BY gray), e AS (PARTITION BY img_id)), v AS (SELECT img_id, gray, {r6('CASE WHEN w0 < w THEN (s * w0 - s0 * w) ** 2 / (w0 * (w - w0)) ELSE 0.0 END / w ** 3', 6)} AS b FROM c) SELECT img_id, gray AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY b DESC, gray) = 1",
+        "img_kernels": f"""{p}, {blur}, soft AS ({soft}), n AS (SELECT img_id, {r6('least(1.0, avg(abs(gray - soft)) / 25)', 6)} AS noise FROM soft GROUP BY img_id),
+g AS (SELECT img_id, gray, count(*) AS k FROM p GROUP BY ALL), c AS (SELECT img_id, gray, sum(k) OVER a::DOUBLE AS w0, sum(k * gray) OVER a::DOUBLE AS s0, sum(k) OVER e::DOUBLE AS w, sum(k * gray) OVER e::DOUBLE AS t FROM g WINDOW a AS (PARTITION BY img_id ORDER BY gray), e AS (PARTITION BY img_id)),
+v AS (SELECT img_id, CASE WHEN w0 < w THEN gray ELSE 0 END AS gray, CASE WHEN w0 < w THEN (t * w0 - s0 * w) ** 2 / (w0 * (w - w0)) ELSE 0.0 END AS apart FROM c), o AS (SELECT img_id, gray AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY apart DESC, gray) = 1)
+SELECT b.img_id, laplacian_var, noise, (SELECT {r6('avg(CASE WHEN p.gray > o.threshold THEN 1.0::DOUBLE ELSE 0 END)', 6)} FROM p JOIN o ON o.img_id = p.img_id WHERE p.img_id = b.img_id) AS white FROM b JOIN n ON n.img_id = b.img_id""",
         "img20_adaptive_mean": f"{p}, a AS (SELECT *, sum(gray) OVER {rows_(5)} AS t, count(*) OVER {rows_(5)} AS n FROM p) SELECT img_id, r, c, CASE WHEN gray > sum(t) OVER {cols_(5)} / sum(n) OVER {cols_(5)} - 2 THEN 255 ELSE 0 END AS gray FROM a",
         "img21_morphology_open": morph("min", "max"),
         "img21_morphology_close": morph("max", "min"),
