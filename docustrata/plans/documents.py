@@ -101,7 +101,10 @@ def join3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join4(direction: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = spatial.labelled(spatial.pages(fixtures.passport_tokens(spark, sf_dir)), fc.field_config(spark))
+        keywords = fc.field_config(spark)
+        if direction == "left":  # the derived passports have nothing to the left of their labels, so the number's dash is the label
+            keywords = keywords.where("field = 'cnic_number'").withColumn("keyword", F.lit("-"))
+        found = spatial.labelled(spatial.pages(fixtures.passport_tokens(spark, sf_dir)), keywords)
         hits = spatial.beside(F.col("page"), F.col("label"), F.lit(direction))
         return found.select("doc_id", "field", F.explode(F.transform(hits, lambda t: t["idx"])).alias("idx"))
 
@@ -448,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "join1_region_iou": f"SELECT doc_id, field, idx FROM ({c}) t JOIN (SELECT * FROM {config_values()}) c ON t.doc_type = c.doc_type WHERE {tc} / ({ta} + {ra} - {tc}) >= 0.05",
         "join2_anchor": f"{parse_ctes(p, True, False)} SELECT doc_id, field, aidx AS idx, atext AS text FROM anchors",
         "join3_similarity": f"SELECT doc_id, idx, {r6(sim_sql('text', q('Identity Number')), 6)} AS similarity FROM ({c})",
-        **{f"join4_anchor_{w}": f"{parse_ctes(p, True, False)} SELECT doc_id, field, idx FROM beside WHERE way = '{w}'" for w in ("right", "left", "below", "above")},
+        **{f"join4_anchor_{w}": parse_ctes(p, True, False).replace("FROM cfg WHERE keyword", "FROM (SELECT * REPLACE ('-' AS keyword) FROM cfg WHERE field = 'cnic_number') WHERE keyword" if w == "left" else "FROM cfg WHERE keyword") + f" SELECT doc_id, field, idx FROM beside WHERE way = '{w}'" for w in ("right", "left", "below", "above")},
         "join5_card_strategy": f"{ctes} SELECT doc_id, field, token_indices FROM fields",
         "ord1_reading_order": f"""WITH RECURSIVE seq AS (SELECT doc_id, idx, text, x1, y1 + {ordered_y} AS y1, row_number() OVER (PARTITION BY doc_id ORDER BY y1 + {ordered_y}, idx) AS rn FROM ({c})),
 fold AS (SELECT *, y1 AS line_y, 0 AS line FROM seq WHERE rn = 1 UNION ALL SELECT s.*, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN s.y1 ELSE f.line_y END, CASE WHEN abs(s.y1 - f.line_y) > 15 THEN f.line + 1 ELSE f.line END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.rn = f.rn + 1)
