@@ -135,3 +135,11 @@ def test_variant_without_boxes(spark):
 def test_no_tokens_no_rows(spark):
     empty = tokens(spark, "passport", PASSPORT).where("false")
     assert parse.parse_passports(empty, fc.field_config(spark)).count() == 0
+
+
+def test_tokens_of_passports_are_not_moved(spark):
+    """Keys are dealt before their tokens are derived, and what follows stays in a document's row."""
+    from docustrata.plans import queries
+
+    plan = queries.queries()["agg11_reconcile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o_orderkey" in plan and "hashpartitioning(doc_id" not in plan
