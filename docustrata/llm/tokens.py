@@ -23,6 +23,7 @@ written. Null doc_ids come first.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -233,11 +234,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. An idle worker would keep it beside those that run."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        give(0)
+
+
 def release() -> None:
     """Frees what a worker remembers for encoding. Workers outlive stages; the tasks of other operators call this first."""
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()
+    trim()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
@@ -249,6 +258,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 3_000_000)
             j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most, "right")))
             yield b.slice(i, j - i)
             i = j
+    trim()
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:

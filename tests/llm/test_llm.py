@@ -407,6 +407,19 @@ def test_machine_learns_pairs():
     assert ((s > 0.5) == (y == 1)).all() and np.abs(m.v[0] @ m.v[1]) > 1
 
 
+def test_workers_give_memory_back():
+    """What a worker freed doesn't stay with it: neither before another operator's task nor after the last chunk of one."""
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c"])], names=["text"])
+    for after in (tokens.release, lambda: list(tokens.chunks(iter([batch]), 0))):
+        freed = [bytes(1000) + b"x" for _ in range(200_000)]
+        kept = freed[::1000]  # noqa: F841 - holds the top of the heap
+        del freed
+        before = rss()
+        after()
+        assert before - rss() > 50_000_000
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
