@@ -143,3 +143,26 @@ def test_tokens_of_passports_are_not_moved(spark):
 
     plan = queries.queries()["agg11_reconcile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(o_orderkey" in plan and "hashpartitioning(doc_id" not in plan
+
+
+def largest_method(df):
+    """Bytes of the largest method among the code of a query's whole stages, which adaptive execution makes as it runs."""
+    df.collect()
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length()))
+
+
+def test_code_of_label_keys_is_compiled(spark):
+    """The JIT compiler leaves methods over 8,000 bytes to the interpreter, which is many times slower."""
+    from docustrata.plans import fixtures
+
+    assert largest_method(spatial.with_keys(fixtures.passport_pages(spark, "/root/testdata/sf0.001"), "text")) < 8000
+
+
+def test_dates_are_checked(spark):
+    """Only what is a date is cast; 31.02. passes."""
+    from docustrata.functions import validators
+
+    given = [" 31.02.1999\n", "01.13.1999", "32.01.1999", "01.01.1899", "01.01.2101", "1.1.1999", "", "Name", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", validators.date(F.col("t")).alias("ok"))
+    assert [r.ok for r in made.orderBy("i").collect()] == [True] + [False] * 8
