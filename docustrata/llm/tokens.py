@@ -29,7 +29,9 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +82,8 @@ class Encoder:
         self.by_words = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made.get("normalizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = Tokenizer(self.tokenizer.model)  # for what the pre-tokenizer would leave whole
+        self.model = self.tokenizer.model  # for what the pre-tokenizer would leave whole
         self.letters = byte_letters()
-        self.feed = self.plain(["\n"])[0][0]
-        self.by_words = self.by_words and len(self.plain(["\n"])[0]) == 1
         self.forget()
 
     def forget(self) -> None:
@@ -119,16 +119,13 @@ class Encoder:
         words = [w for w in words if w not in known]
         if not words:
             return
-        mark, letters, feed = self.letters[32] if spaced else "", self.letters, self.letters[10]
+        mark, letters, tokenize = self.letters[32] if spaced else "", self.letters, self.model.tokenize
         if any("\n" in w for w in words):
             ids = self.plain([" " + w if spaced else w for w in words])
             self.keep(words, spaced, np.array([i for x in ids for i in x], dtype="uint32"), np.array([len(x) for x in ids]))
             return
-        sent = [feed] * (2 * len(words))  # a line feed after each word, by which the ids part again
-        sent[::2] = [mark + (w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(letters)) for w in words]
-        ids = np.array(self.model.encode_batch_fast([sent], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="uint32")
-        ends = np.flatnonzero(ids == self.feed)
-        self.keep(words, spaced, ids[ids != self.feed], np.diff(ends, prepend=-1) - 1)
+        ids = [[t.id for t in tokenize(mark + (w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(letters)))] for w in words]
+        self.keep(words, spaced, np.fromiter(chain.from_iterable(ids), dtype="uint32"), np.fromiter(map(len, ids), dtype="int64", count=len(ids)))
 
     def learn(self, words: list[str], spaced: bool) -> None:
         """Keeps the ids of new words."""
@@ -167,14 +164,20 @@ class Encoder:
     def places(self, words: list[str], spaced: bool) -> np.ndarray:
         """Where the ids of each of these distinct words are kept."""
         known = self.spaced if spaced else self.opening
-        at = list(map(known.get, words))
-        if None in at:
-            self.learn([w for w, k in zip(words, at, strict=True) if k is None], spaced)
-            at = list(map(known.__getitem__, words))
-        return np.array(at, dtype="int64")
+        at = np.fromiter((known.get(w, -1) for w in words), dtype="int64", count=len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            self.learn(fresh, spaced)
+            at[new] = np.fromiter(map(known.__getitem__, fresh), dtype="int64", count=len(fresh))
+        return at
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """ids of each text, without the end id."""
+        with uncollected():
+            return self.encoded(texts)
+
+    def encoded(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), dtype=bool)
         out: list = [None] * len(texts)
@@ -229,6 +232,18 @@ class Encoder:
         return out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles: short lists by the hundred thousand, none of which has one, would set it off again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

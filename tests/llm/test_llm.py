@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, and on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gc
 import hashlib
 import re
 import textwrap
@@ -284,6 +285,20 @@ def test_forgetting_keeps_ids(monkeypatch):
         assert all(a.tolist() == b.tolist() for a, b in zip(e.encode(pa.array(made)), plain_ids(made), strict=True))
 
 
+def test_words_are_learned_without_collections():
+    """Many new words don't set off the search for cycles, which is on again afterwards."""
+    made, seen = [" ".join(f"w{i}" for i in range(15_000)), None], []
+    e = tokens.Encoder(tokens.default_tokenizer())
+    gc.collect()
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        got = e.encode(pa.array(made))
+    finally:
+        gc.callbacks.pop()
+    assert not seen and gc.isenabled()
+    assert [x.tolist() for x in got] == [x.tolist() for x in plain_ids([made[0], ""])]
+
+
 def test_token_files(spark, texts):
     keys = sorted(texts)
     ids = [np.append(x, np.uint32(2)) for x in plain_ids([texts[k] for k in keys])]
