@@ -166,3 +166,45 @@ def test_dates_are_checked(spark):
     given = [" 31.02.1999\n", "01.13.1999", "32.01.1999", "01.01.1899", "01.01.2101", "1.1.1999", "", "Name", None]
     made = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", validators.date(F.col("t")).alias("ok"))
     assert [r.ok for r in made.orderBy("i").collect()] == [True] + [False] * 8
+
+
+def optimized(spark, name):
+    from docustrata.plans import queries
+
+    return queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_and_rules_are_compiled(spark):
+    """Labels are found while tokens are grouped, rules of fields are literals, and boxes that reconciliation doesn't use aren't made."""
+    plan = optimized(spark, "agg11_reconcile")
+    assert "min(CASE WHEN" in plan and "below =" not in plan and "bbox" not in plan
+
+
+def test_labels_found_in_groups(spark):
+    """The same tokens as the search on a page: contained before similar, more similar before less, then by index; none."""
+    t = tokens(spark, "passport", [("Surnme", 0.9, (0, 0, 1, 1)), ("Given Nanes", 0.9, (0, 2, 1, 3)), ("  surname: ", 0.9, (0, 4, 1, 5)), ("Given Names", 0.9, (0, 6, 1, 7)), ("Surname", 0.9, (0, 8, 1, 9)), ("Dats of Birht", 0.9, (0, 9, 1, 10)), (None, 0.9, (0, 11, 1, 12))])
+    keys = spatial.keys_of(spark, ["Surname", "Given Names", "Date of Birth", "XQZ"])
+    found = spatial.labelled_pages(t, {f"l{i}": k for i, k in enumerate(keys.values())}).first()
+    page = spatial.pages(t)
+    old = page.select(*(spatial.anchor_in(F.col("page"), k["low"], k["word"], k["set"])["idx"].alias(f"l{i}") for i, k in enumerate(keys.values()))).first()
+    assert [found[f"l{i}"] and found[f"l{i}"].idx for i in range(4)] == list(old) == [2, 3, 5, None]
+
+
+def test_config_of_several_types(spark):
+    """Each type is parsed by its own fields; documents of a type without any have no row."""
+    c = fc.field_config(spark).where("doc_type = 'passport'")
+    two = c.unionByName(c.where("field in ('surname', 'given_names')").withColumn("doc_type", F.lit("visa")))
+    t = tokens(spark, "passport", PASSPORT)
+    every = t.unionByName(t.withColumns({"doc_id": F.lit(2).cast("long"), "doc_type": F.lit("visa")})).unionByName(t.withColumns({"doc_id": F.lit(3).cast("long"), "doc_type": F.lit("other")}))
+    got = {(r.doc_id, r.field): r.value for r in parse.parse_passports(every, two).collect()}
+    assert len(got) == 10 and got[2, "surname"] == got[1, "surname"] == "KHAN" and {d for d, _ in got} == {1, 2}
+    assert parse.parse_passports(t, two.where("field = 'none'")).count() == 0
+
+
+def test_strip_ends_at_the_end(spark):
+    """White space before a last line separator isn't at the end: `$` of Java matches there, that of the SQL doesn't."""
+    from docustrata.functions import text
+
+    given = [" a \u0085", "\t\n\x0b\f\r a b\r\n ", "   ", "", None]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", text.strip(F.col("t")).alias("s"))
+    assert [r.s for r in made.orderBy("i").collect()] == ["a \u0085", "a b", "", "", None]
