@@ -201,6 +201,12 @@ def test_config_of_several_types(spark):
     assert parse.parse_passports(t, two.where("field = 'none'")).count() == 0
 
 
+def test_prompt_is_read_once(spark):
+    """agg13 takes what it tells from one pass over the payload, not from one for each column."""
+    plan = optimized(spark, "agg13_prompt")
+    assert "json_tuple(payload" in plan and "get_json_object(payload" not in plan
+
+
 def test_strip_ends_at_the_end(spark):
     """White space before a last line separator isn't at the end: `$` of Java matches there, that of the SQL doesn't."""
     from docustrata.functions import text
